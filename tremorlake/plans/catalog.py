@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlake.plans import q_features  # noqa: F401
+from tremorlake.plans import q_features, q_quality  # noqa: F401
 from tremorlake.plans.registry import ORACLE, QUERIES
 
 
