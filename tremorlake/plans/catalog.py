@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlake.plans import q_features, q_quality, q_sampling  # noqa: F401
+from tremorlake.plans import q_features, q_quality, q_sampling, q_waveform  # noqa: F401
 from tremorlake.plans.registry import ORACLE, QUERIES
 
 

@@ -80,7 +80,7 @@ renamed AS (
          "Vibration_Level" AS vibration_level
   FROM raw)"""
 
-WAVES = """waves AS (
-  SELECT vec_id, label, list_transform(embedding, x -> round(cast(x AS DOUBLE), 1)) AS samples FROM embeddings),
+WAVES = """raw_samples AS (
+  SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS e FROM embeddings),
 samples AS (
-  SELECT vec_id, label, unnest(generate_series(1, len(samples))) AS i, unnest(samples) AS x FROM waves)"""
+  SELECT vec_id, label, i, round(cast(e AS DOUBLE), 1) AS x FROM raw_samples)"""
