@@ -87,7 +87,7 @@ class BoostedModel:
             tot = tot + p
         arr = F.array(*[p / tot for p in ps])
         drop = [c for i in range(len(self.members)) for c in (f"_raw{i}", f"_prob{i}", f"_pred{i}")]
-        return out.drop(*drop).withColumn("prob_array", arr)
+        return out.withColumn("prob_array", arr).drop(*drop)
 
 
 def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -> BoostedModel:

@@ -61,8 +61,8 @@ def stratified_rank(df: DataFrame, stratum: str, key: str | list[str], seed: int
     local = Window.partitionBy(stratum, "_bin").orderBy("_h", *keys)
     ranked = d.withColumn("_local", F.row_number().over(local))
     out = ranked.join(offsets, [stratum, "_bin"])
-    return out.withColumn("_rank", F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")) \
-        .drop("_h", "_bin", "_local", "_before")
+    rank = (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).alias("_rank")
+    return out.select(*[F.col(c) for c in df.columns], rank, "_n")  # input column order kept
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str | list[str], test_fraction: float = K.TEST_FRACTION,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlake.plans import q_evaluate, q_features, q_model, q_quality, q_sampling, q_waveform  # noqa: F401
+from tremorlake.plans import q_evaluate, q_features, q_model, q_quality, q_sampling, q_stream, q_waveform  # noqa: F401
 from tremorlake.plans.registry import ORACLE, QUERIES
 
 

@@ -46,7 +46,7 @@ def derive_raw9(spark, sf_dir):
     return finish(t.select("event_id", *K.DERIVED_FEATURES))
 
 
-_COMPACT_DERIVED = f"""
+_COMPACT_CTE = f"""
 WITH {S.COMPACT},
 acc AS (
   SELECT *, tilt*{DEG}e0 AS theta FROM compact),
@@ -70,7 +70,9 @@ der AS (
          0.5e0*ppv_mms*ppv_mms AS kinetic_energy_proxy,
          abs(seismometer_ms2)/greatest(abs(geophone_mms), 1e-4) AS accel_to_velocity_ratio,
          psd_value*frequency_hz AS spectral_power_product
-  FROM syn)
+  FROM syn)"""
+
+_COMPACT_DERIVED = _COMPACT_CTE + f"""
 SELECT event_id, tilt_y_deg,
        {", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in ["temperature_c", "tilt_x_deg", "displacement_mm"] + K.FEATURES)}
 FROM der"""

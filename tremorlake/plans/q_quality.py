@@ -316,3 +316,46 @@ SELECT column_a, column_b, {r6('r')} AS r FROM pairs WHERE abs(r) > 0.9e0""")
 def corr_pairs(spark, sf_dir):
     """Highly correlated channel pairs (|r| > 0.90), all pairs in one aggregate."""
     return finish(quality.corr_pairs(renamed(spark, sf_dir), NUM))
+
+
+# --- files ----------------------------------------------------------------
+
+@register("csv_roundtrip", f"""
+WITH {CLEAN},
+k AS (SELECT *, md5(concat(cast(event_id AS VARCHAR), '|42')) AS h FROM labelled),
+s AS (SELECT *, row_number() OVER (PARTITION BY risk_label ORDER BY h, event_id)
+                <= round(count(*) OVER (PARTITION BY risk_label)*0.2e0) AS is_test FROM k)
+SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, event_id,
+       {", ".join(q(c) for c in TXT)}, {", ".join(f"{r6(c)} AS {c}" for c in NUM)}, risk_label
+FROM s
+UNION ALL
+SELECT 'hardware' AS part, NULL, NULL, NULL, NULL, NULL,
+       {", ".join(f"{r6(c)}" if c in K.RAW_CHANNELS else "NULL" for c in NUM)}, risk_label
+FROM s""")
+def csv_roundtrip(spark, sf_dir):
+    """Export processed train/test (CSV) and the hardware projection (JSON), discover the files by
+    extension, read them back with an explicit schema, and union by column name."""
+    from pyspark.sql import types as T
+
+    from tremorlake.operators import sampling
+    from tremorlake.sources import files
+
+    cleaned = clean.preprocess(tables.raw_blast_table(spark, sf_dir))
+    split = sampling.stratified_split(cleaned, "risk_label", "event_id")
+    base = scratch_dir(spark, "files")
+    files.export(split.where(~F.col("is_test")).drop("is_test"), f"{base}/train", "csv")
+    files.export(split.where(F.col("is_test")).drop("is_test"), f"{base}/test", "csv")
+    files.export(features.hardware_projection(cleaned), f"{base}/hardware", "json")
+    schema = T.StructType([T.StructField("event_id", T.LongType())]
+                          + [T.StructField(c, T.StringType()) for c in ["timestamp", "blast_id"]]
+                          + [T.StructField(c, T.DoubleType()) for c in ORDER[3:7]]
+                          + [T.StructField("soil_type", T.StringType())]
+                          + [T.StructField(c, T.DoubleType()) for c in ORDER[8:18]]
+                          + [T.StructField("vibration_level", T.StringType()),
+                             T.StructField("risk_label", T.StringType())])
+    parts = []
+    for part in ["train", "test", "hardware"]:
+        d = files.read_tables(spark, f"{base}/{part}", schema)
+        parts.append(d.withColumn("part", F.lit(part)))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
+    return finish(out.select("part", "event_id", *TXT, *NUM, "risk_label"))
