@@ -135,14 +135,31 @@ def leak_intervals(ranges: DataFrame) -> DataFrame:
 
 
 def corr_pairs(df: DataFrame, cols: list[str] | None = None, limit: float = 0.90) -> DataFrame:
-    """Pearson r for all column pairs i < j in one aggregate (pairwise-complete); keep |r| > limit."""
+    """Pearson r for all column pairs i < j (pairwise-complete, like pandas); keep |r| > limit.
+
+    Long form: each row yields one (pair, x, y) entry per pair and a single
+    ``corr`` runs grouped by pair.  The grouped aggregate stays small enough
+    for whole-stage codegen (a 91-pair wide aggregate does not), and partial
+    aggregation collapses the entries to one buffer per pair per task before
+    any shuffle.
+    """
     cols = numeric_columns(df) if cols is None else cols
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[F.corr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    items = F.array(*[F.struct(F.lit(cols[i]).alias("column_a"), F.lit(cols[j]).alias("column_b"),
-                               F.col(f"r{i}_{j}").alias("r")) for i, j in pairs])
-    long = wide.select(F.explode(items).alias("c")).select("c.*")
-    return long.where(F.abs("r") > F.lit(limit))
+    entries = ", ".join(
+        f"named_struct('column_a', {sql_str(cols[i])}, 'column_b', {sql_str(cols[j])}, "
+        f"'x', CAST({sql_ident(cols[i])} AS DOUBLE), 'y', CAST({sql_ident(cols[j])} AS DOUBLE))"
+        for i, j in pairs)
+    long = df.selectExpr(f"inline(array({entries}))")  # one SQL expression: a single plan call
+    r = long.groupBy("column_a", "column_b").agg(F.corr("x", "y").alias("r"))
+    return r.where(F.abs("r") > F.lit(limit))
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(s: str) -> str:
+    return "`" + s.replace("`", "``") + "`"
 
 
 def train_test_overlap(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
+from tremorlake.session import spread
 
 BIN_HEX_DIGITS = 5  # 2^20 bins
 
@@ -102,7 +103,7 @@ def augment(df: DataFrame, key: str, factor: int = K.AUGMENT_FACTOR, seed: int =
     """
     cols = df.columns
     base = df.withColumn("aug_round", F.lit(0))
-    rep = df.withColumn("aug_round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+    rep = spread(df).withColumn("aug_round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
     new = {}
     for c, sigma in K.NOISE_SIGMA.items():
         if c in cols and sigma > 0:

@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "tremorlake", shuffle_pa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
     }
     conf.update(extra or {})
@@ -62,6 +63,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """Round-robin a frame over the cluster's cores when it has fewer partitions than cores.
+
+    Used before row-expanding or CPU-heavy steps.  On a large input (more
+    partitions than cores) it is a no-op, so it adds no shuffle at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -71,6 +84,6 @@ def materialize(df, name: str):
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    spread(df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
