@@ -60,7 +60,10 @@ def fit_forest(train: DataFrame, num_trees: int = K.FOREST_PARAMS["numTrees"],
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL_IDX, weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth,
                                 minInstancesPerNode=K.FOREST_PARAMS["minInstancesPerNode"],
-                                featureSubsetStrategy="sqrt", maxBins=max_bins, seed=K.SEED)
+                                featureSubsetStrategy="sqrt", maxBins=max_bins, seed=K.SEED,
+                                # execution only: larger node groups per pass, cached node ids
+                                # (checkpointed every 10 iterations to the shared checkpoint folder)
+                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[_indexer(), _assembler(), rf]).fit(train)
 
 

@@ -104,20 +104,19 @@ def augment(df: DataFrame, key: str, factor: int = K.AUGMENT_FACTOR, seed: int =
     cols = df.columns
     base = df.withColumn("aug_round", F.lit(0))
     rep = spread(df).withColumn("aug_round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
-    new = {}
+    # three projections (noise, clamp, relabel): Spark does not collapse projections when that would
+    # duplicate an expensive expression, so each md5-based noise value is computed once per row
+    noisy = {}
     for c, sigma in K.NOISE_SIGMA.items():
         if c in cols and sigma > 0:
             h1 = order_key(F.col(key), F.col("aug_round"), c, seed, 1)
             h2 = order_key(F.col(key), F.col("aug_round"), c, seed, 2)
-            new[c] = F.col(c) + F.lit(sigma) * gaussian(h1, h2)
-    for c in K.CLAMP_COLUMNS:
-        if c in cols:
-            new[c] = P.clamp_floor(new.get(c, F.col(c)))
-    if "ppv_mms" in cols and "risk_label" in cols:
-        ppv = new.get("ppv_mms", F.col("ppv_mms"))
-        new["risk_label"] = P.risk_from_ppv(ppv)
-        new["vibration_level"] = P.level_from_ppv(ppv)
-    rep = rep.withColumns(new)
-    if "vibration_level" in new and "vibration_level" not in cols:
+            noisy[c] = F.col(c) + F.lit(sigma) * gaussian(h1, h2)
+    rep = rep.withColumns(noisy)
+    rep = rep.withColumns({c: P.clamp_floor(F.col(c)) for c in K.CLAMP_COLUMNS if c in cols})
+    relabel = "ppv_mms" in cols and "risk_label" in cols
+    if relabel:
+        rep = rep.withColumns({"risk_label": P.risk_from_ppv("ppv_mms"), "vibration_level": P.level_from_ppv("ppv_mms")})
+    if relabel and "vibration_level" not in cols:
         base = base.withColumn("vibration_level", F.lit(None).cast("string"))
     return base.unionByName(rep)
