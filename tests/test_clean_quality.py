@@ -122,3 +122,35 @@ def test_correlation_pairwise_complete(spark):
     ref = pdf.corr()
     for (x, y), r in out.items():
         assert r == pytest.approx(ref.loc[x, y], abs=1e-12)
+
+
+def test_reports_and_metadata_echo(spark):
+    from tremorlake.sources import tables
+
+    from conftest import SF001
+
+    raw = clean.canonical_names(tables.raw_blast_table(spark, SF001))
+    rep = profile.profile_table(raw, key="event_id")
+    assert set(rep) == {"shape", "preview", "columns", "duplicates", "domains", "numeric", "value_counts"}
+    assert rep["preview"].count() == 5 and rep["shape"].first()["rows"] == raw.count()
+    q = quality.report(raw.drop("event_id"))
+    assert {"outliers", "ranges", "labels", "leak_intervals"} <= set(q)
+    assert q["ranges"].where("column = 'temperature_c'").first()["out_of_range"] > 0
+    assert profile.categorize_columns(["Blast_ID", "risk", "zzz"])["Blast / Mining Operations"] == ["Blast_ID"]
+    df = spark.createDataFrame([("None", None), ("N1", "2026-01-01T00:00:00"), (None, "None")], "node_id string, timestamp string")
+    rows = clean.echo_metadata(df).collect()
+    assert rows[0]["node_id"] is None and rows[0]["timestamp"].endswith("Z")
+    assert rows[1]["timestamp"] == "2026-01-01T00:00:00" and rows[2]["node_id"] is None
+
+
+def test_exact_mean_is_correctly_rounded(spark):
+    import math
+
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.uniform(-50, 50, 5000), 2).tolist() + [0.07] * 3001 + [-1234.5678, 1e-9]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
+    got = df.agg(profile.exact_mean(F.col("x")).alias("m")).first()["m"]
+    assert got == math.fsum(vals) / len(vals)
+    assert df.agg(profile.exact_sum(F.col("x"))).first()[0] == math.fsum(vals)
+    big = spark.createDataFrame([(1e15,), (1.0,)], "x double")
+    assert big.agg(profile.exact_mean(F.col("x"))).first()[0] == pytest.approx((1e15 + 1) / 2)

@@ -51,3 +51,6 @@ def waveform_features(samples) -> Column:
         zcr.alias("zero_crossing_rate"), scr.alias("sign_change_rate"),
     )
     return F.when(F.size(w) > 0, feats)
+
+
+array_features = waveform_features

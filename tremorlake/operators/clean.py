@@ -147,3 +147,13 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rule_alerts(df: DataFrame, threshold: float = K.RULE_ALERT_MAGNITUDE) -> DataFrame:
     """Model-independent alert: resultant acceleration above the threshold."""
     return df.where(F.col("vibration_magnitude_ms2") > F.lit(threshold))
+
+
+def echo_metadata(df: DataFrame) -> DataFrame:
+    """node_id / timestamp: NULL or the text 'None' -> NULL; a missing timestamp becomes now (UTC, ISO)."""
+    out = df
+    if "node_id" in df.columns:
+        out = out.withColumn("node_id", P.none_literal_to_null("node_id"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ts = P.none_literal_to_null("timestamp") if "timestamp" in df.columns else F.lit(None).cast("string")
+    return out.withColumn("timestamp", F.coalesce(ts, now))

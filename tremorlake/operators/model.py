@@ -98,15 +98,29 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
     prep = Pipeline(stages=[_indexer(), _assembler()]).fit(train)
     labels = prep.stages[0].labels
     data = prep.transform(train)
-    members = []
-    for k, name in enumerate(labels):
+
+    def fit_one(k: int):
         y = data.withColumn("_y", (F.col(LABEL_IDX) == k).cast("double"))
         gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter,
                             stepSize=K.BOOSTED_PARAMS["stepSize"], maxDepth=K.BOOSTED_PARAMS["maxDepth"],
                             subsamplingRate=K.BOOSTED_PARAMS["subsamplingRate"],
-                            featureSubsetStrategy=K.BOOSTED_FEATURE_FRACTION, seed=K.SEED)
-        members.append((name, gbt.fit(y)))
-    return BoostedModel(prep, members)
+                            featureSubsetStrategy=K.BOOSTED_FEATURE_FRACTION, seed=K.SEED,
+                            cacheNodeIds=True, checkpointInterval=10)
+        return gbt.fit(y)
+
+    fitted = in_parallel(fit_one, range(len(labels)))
+    return BoostedModel(prep, list(zip(labels, fitted)))
+
+
+def in_parallel(fn, items, max_workers: int = 5) -> list:
+    """Run independent fits as concurrent Spark jobs from a small driver thread pool (results in order)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(fn), items))
 
 
 def _prob_array(model, df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -133,12 +147,12 @@ def predict(model, df: DataFrame, model_name: str, keep: list[str] | None = None
 
 def fold_predictions(train: DataFrame, fold_col: str, fit, n_folds: int = K.N_FOLDS) -> DataFrame:
     """Out-of-fold predictions: fit on the other folds, predict the held-out fold, union (pooled metrics)."""
+    models = in_parallel(lambda k: fit(train.where(F.col(fold_col) != k)), range(n_folds))
     out = None
-    for k in range(n_folds):
-        model = fit(train.where(F.col(fold_col) != k))
-        p, labels = _prob_array(model, train.where(F.col(fold_col) == k))
-        lab, _ = evaluate.argmax_label([p_ for p_ in [
-            (F.col("prob_array")[labels.index(c)] if c in labels else F.lit(0.0)) for c in K.CLASSES]])
+    for k, m in enumerate(models):
+        p, labels = _prob_array(m, train.where(F.col(fold_col) == k))
+        lab, _ = evaluate.argmax_label([
+            (F.col("prob_array")[labels.index(c)] if c in labels else F.lit(0.0)) for c in K.CLASSES])
         p = p.select("risk_label", lab.alias("prediction"), F.lit(k).alias("fold"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -191,3 +205,29 @@ def load(spark: SparkSession, path: str):
         members = [(c, GBTClassificationModel.load(f"{path}/member{i}")) for i, c in enumerate(meta["classes"])]
         return BoostedModel(prep, members), meta
     return PipelineModel.load(f"{path}/pipeline"), meta
+
+
+def preprocess_stages(categorical: list[str] | None = None, scale: bool = False) -> list:
+    """Feature stages: one-hot for text columns (unknown -> zeros), the ordered assembler, and an
+    optional standard scaler (trees do not need it)."""
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler
+
+    stages, extra = [], []
+    for c in categorical or []:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_vec", dropLast=True))
+        extra.append(f"{c}_vec")
+    out = "features_raw" if scale else "features"
+    stages.append(VectorAssembler(inputCols=K.FEATURES + extra, outputCol=out, handleInvalid="keep"))
+    if scale:
+        stages.append(StandardScaler(inputCol=out, outputCol="features", withMean=True, withStd=True))
+    return stages
+
+
+def score(model, df: DataFrame, model_name: str, keep: list[str] | None = None) -> DataFrame:
+    """Batch or streaming scoring with the metadata echo (node_id, timestamp) of each packet."""
+    from tremorlake.operators.clean import echo_metadata
+
+    d = echo_metadata(df)
+    return predict(model, d, model_name, keep=list(dict.fromkeys((keep or []) + ["node_id", "timestamp"])))

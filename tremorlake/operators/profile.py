@@ -89,6 +89,28 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     return out
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of double values rounded once (to the nearest double), whatever the partitioning.
+
+    Each value splits into its integer part (truncation) and fraction, both exact in double
+    arithmetic; the parts are summed as decimals (fraction to 1e-24), so no low bits are lost in
+    an order that depends on how rows fall into tasks.  Falls back to the double sum when a
+    magnitude reaches 1e14.
+    """
+    ok = F.abs(x) < F.lit(1e14)
+    whole = F.when(ok, x.cast("long"))
+    frac = x - whole.cast("double")
+    s_whole = F.sum(whole.cast("decimal(38,0)")).try_cast("decimal(38,24)")
+    s_frac = F.sum(frac.cast("decimal(38,24)"))
+    exact = (s_whole + s_frac).cast("double")
+    return F.when((F.count(whole) == F.count(x)) & s_whole.isNotNull(), exact).otherwise(F.sum(x))
+
+
+def exact_mean(x: Column) -> Column:
+    """Mean as the exactly summed total divided by the count (one IEEE division)."""
+    return exact_sum(x) / F.count(x)
+
+
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: n, mean, std (sample), min, median (exact), max, skew (bias-corrected G1)."""
     cols = numeric_columns(df) if cols is None else cols
@@ -96,7 +118,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), exact_mean(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}")]
     wide = clean.agg(*aggs)
     items = F.array(*[
@@ -143,3 +165,33 @@ def preview(df: DataFrame, key: str, n: int = 5, seed: int | None = None) -> Dat
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     return df.withColumn("_perm", h).orderBy("_perm", key).limit(n).drop("_perm")
 
+
+
+def categorize_columns(names: list[str]) -> dict[str, list[str]]:
+    """Domain groups -> the names that fall in them (first matching group wins; unmatched dropped)."""
+    out: dict[str, list[str]] = {g: [] for g, _ in K.DOMAIN_GROUPS}
+    for n in names:
+        g = categorize_name(n)
+        if g is not None:
+            out[g].append(n)
+    return out
+
+
+def profile_table(df: DataFrame, key: str | None = None) -> dict[str, DataFrame]:
+    """Inspection report of a table as DataFrames: shape, head(5), column profile, duplicates,
+    numeric summary, value counts and the domain mapping of the column names."""
+    prof = column_profile(df)
+    num = numeric_columns(df, exclude=[key] if key else [])
+    txt = text_columns(df, exclude=[key] if key else [])
+    rep = {
+        "shape": shape(df),
+        "preview": preview(df, key) if key else df.limit(5),
+        "columns": prof,
+        "duplicates": duplicate_counts(df),
+        "domains": domain_categories(prof),
+    }
+    if num:
+        rep["numeric"] = numeric_summary(df, num)
+    if txt:
+        rep["value_counts"] = value_counts(df, txt)
+    return rep

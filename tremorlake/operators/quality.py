@@ -166,3 +166,35 @@ def train_test_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
     """Distinct rows present in both sides (set intersection) and their count."""
     both = train.intersect(test)
     return both.agg(F.count(F.lit(1)).alias("shared_rows"))
+
+
+def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Per column IQR outlier counts (rows are reported, never removed)."""
+    return outlier_counts(df, cols).select("column", "iqr_outliers")
+
+
+def report(df: DataFrame, cols: list[str] | None = None, train: DataFrame | None = None,
+           test: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Data-quality report as DataFrames: missing values, duplicates, outliers, range rules, labels,
+    distributions, correlation, leakage (ranges and their disjointness) and train/test overlap."""
+    from tremorlake.operators import profile
+
+    cols = numeric_columns(df, exclude=["id", "created_at"]) if cols is None else cols
+    out = {
+        "columns": profile.column_profile(df),
+        "duplicates": profile.duplicate_counts(df),
+        "outliers": outlier_counts(df, cols),
+        "ranges": range_checks(df),
+        "distribution": profile.numeric_summary(df, cols),
+        "correlation": corr_pairs(df, cols),
+    }
+    label = first_present(df, LABEL_CANDIDATES)
+    if label:
+        out["labels"] = label_distribution(df, label)
+        if first_present(df, PPV_CANDIDATES):
+            ranges = ppv_by_label(df, label)
+            out["ppv_by_label"] = ranges
+            out["leak_intervals"] = leak_intervals(ranges)
+    if train is not None and test is not None:
+        out["train_test_overlap"] = train_test_overlap(train, test)
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tremorlake.plans import q_evaluate, q_features, q_model, q_quality, q_sampling, q_stream, q_waveform  # noqa: F401
+from tremorlake.plans import (  # noqa: F401
+    q_evaluate, q_features, q_model, q_quality, q_sampling, q_stream, q_tables, q_waveform)
 from tremorlake.plans.registry import ORACLE, QUERIES
 
 

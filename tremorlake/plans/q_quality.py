@@ -190,7 +190,7 @@ def duplicate_counts(spark, sf_dir):
 @register("numeric_summary", f"""
 WITH {S.RENAMED}
 """ + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, {r6(f'fsum({c})/count({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
     f"{r6(f'min({c})')} AS min, {r6(f'quantile_cont({c}, 0.5)')} AS median, {r6(f'max({c})')} AS max, "
     f"{r6(f'skewness({c})')} AS skew FROM renamed" for c in NUM))
 def numeric_summary(spark, sf_dir):
