@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as K
 from tremorlake.operators.clean import numeric_columns
+from tremorlake.operators.profile import exact_mean
 from tremorlake.operators.quantiles import exact_quantiles
 
 LABEL_CANDIDATES = ["risk_label", "vibration_level", "Vibration_Level"]
@@ -116,7 +117,7 @@ def ppv_by_label(df: DataFrame, label: str | None = None, ppv: str | None = None
     lab = normalized_label(F.col(label))
     return (df.where(F.col(label).isNotNull())
             .groupBy(lab.alias("label"))
-            .agg(F.min(ppv).alias("ppv_min"), F.max(ppv).alias("ppv_max"), F.avg(ppv).alias("ppv_mean"),
+            .agg(F.min(ppv).alias("ppv_min"), F.max(ppv).alias("ppv_max"), exact_mean(F.col(ppv)).alias("ppv_mean"),
                  F.count(F.lit(1)).alias("n")))
 
 

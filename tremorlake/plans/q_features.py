@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
 from tremorlake.operators import clean, features
+from tremorlake.operators.profile import exact_mean, exact_sum
 from tremorlake.plans import sql as S
 from tremorlake.plans.registry import finish, register
 from tremorlake.sources import tables
@@ -21,9 +22,9 @@ DERIVED_SQL = ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in K.DERIVED_FEATURE
 @register("risk_by_node", f"""
 WITH {S.FEATURED}
 SELECT node_id, risk_label, count(*) AS n_packets,
-       round(avg(vibration_magnitude_ms2), 6) + 0e0 AS mean_magnitude,
+       round(fsum(vibration_magnitude_ms2)/count(vibration_magnitude_ms2), 6) + 0e0 AS mean_magnitude,
        round(max(ppv_mms), 6) + 0e0 AS max_ppv,
-       round(sum(kinetic_energy_proxy), 6) + 0e0 AS total_energy
+       round(fsum(kinetic_energy_proxy), 6) + 0e0 AS total_energy
 FROM featured GROUP BY node_id, risk_label""")
 def risk_by_node(spark, sf_dir):
     """Flagship: per node and risk class, packet count, mean resultant acceleration, peak PPV, energy."""
@@ -31,9 +32,9 @@ def risk_by_node(spark, sf_dir):
     t = t.withColumn("risk_label", P.risk_from_ppv("ppv_mms"))
     out = t.groupBy("node_id", "risk_label").agg(
         F.count("*").alias("n_packets"),
-        F.avg("vibration_magnitude_ms2").alias("mean_magnitude"),
+        exact_mean(F.col("vibration_magnitude_ms2")).alias("mean_magnitude"),
         F.max("ppv_mms").alias("max_ppv"),
-        F.sum("kinetic_energy_proxy").alias("total_energy"),
+        exact_sum(F.col("kinetic_energy_proxy")).alias("total_energy"),
     )
     return finish(out)
 

@@ -273,7 +273,7 @@ PPV_RANGES = S.RENAMED + """,
 ranges AS (
   SELECT CASE vibration_level WHEN 'Low' THEN 'NORMAL' WHEN 'Medium' THEN 'WARNING' WHEN 'High' THEN 'CRITICAL'
               ELSE vibration_level END AS label,
-         min(ppv_mms) AS ppv_min, max(ppv_mms) AS ppv_max, avg(ppv_mms) AS ppv_mean, count(*) AS n
+         min(ppv_mms) AS ppv_min, max(ppv_mms) AS ppv_max, fsum(ppv_mms)/count(ppv_mms) AS ppv_mean, count(*) AS n
   FROM renamed WHERE vibration_level IS NOT NULL GROUP BY 1)"""
 
 
