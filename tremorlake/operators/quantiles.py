@@ -9,7 +9,7 @@ wanted order statistic is found by histogram refinement:
    ``max_window_rows`` rows, one aggregate counts rows per equal-width bin of
    the interval (``bins`` groups per rank, so the collected histogram has a
    fixed size bound) and the interval shrinks to the bin holding the rank;
-3. the final interval (<= ``max_window_rows`` rows) is ranked with a window
+3. the final interval (<= ``max_window_rows`` rows, 20k by default) is ranked with a window
    partitioned by the wanted rank, lazily, inside the returned plan.
 
 Binning is monotone in the value, so rows of earlier bins are all smaller:
@@ -49,7 +49,7 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096,
-                    max_window_rows: int = 250_000) -> DataFrame:
+                    max_window_rows: int = 20_000) -> DataFrame:
     """DataFrame(column, p, value) with numpy/pandas 'linear' quantiles of each column.
 
     Columns with no non-NULL value give a NULL quantile.
