@@ -97,7 +97,7 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
     """Multiclass boosting as three one-vs-rest ``GBTClassifier`` fits (no OneVsRest: it has no probabilities)."""
     prep = Pipeline(stages=[_indexer(), _assembler()]).fit(train)
     labels = prep.stages[0].labels
-    data = prep.transform(train)
+    data = share_cores(prep.transform(train), len(labels))
 
     def fit_one(k: int):
         y = data.withColumn("_y", (F.col(LABEL_IDX) == k).cast("double"))
@@ -112,6 +112,16 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
     return BoostedModel(prep, list(zip(labels, fitted)))
 
 
+def share_cores(df: DataFrame, n_fits: int) -> DataFrame:
+    """On a small input (no more partitions than cores), give each of ``n_fits`` concurrent fits a
+    share of the cores: with the FIFO scheduler one job's tasks would otherwise take every core and
+    the other fits would queue.  A large input is left as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() <= cores and n_fits > 1:
+        return df.coalesce(max(1, cores // n_fits))
+    return df
+
+
 def in_parallel(fn, items, max_workers: int = 5) -> list:
     """Run independent fits as concurrent Spark jobs from a small driver thread pool (results in order)."""
     from concurrent.futures import ThreadPoolExecutor
