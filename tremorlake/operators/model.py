@@ -1,9 +1,9 @@
 """Risk classifiers with Spark ML: forest, one-vs-rest boosted trees, fold predictions, scoring, persistence.
 
 The model matrix is the ordered 14 features.  Training data is written once
-to the shared checkpoint folder and cached, so the iterative tree passes
-re-read a stable table rather than the raw scan (and an executor loss costs
-one parquet re-read).  Scoring is a single ``transform`` over every row of a
+to the shared checkpoint folder, so the iterative tree passes re-read a
+stable table rather than the raw scan (and an executor loss costs one
+parquet re-read).  Scoring is a single ``transform`` over every row of a
 batch or streaming DataFrame.
 """
 
@@ -50,9 +50,10 @@ def _assembler() -> VectorAssembler:
 
 
 def training_matrix(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Features + label + class weight, written once and cached for the iterative fits."""
+    """Features + label + class weight, written once as parquet for the iterative fits (the learners
+    persist their own working copy; the parquet re-read is column-pruned)."""
     m = with_class_weights(model_matrix(df, keep=keep))
-    return materialize(m, "train").cache()
+    return materialize(m, "train")
 
 
 def fit_forest(train: DataFrame, num_trees: int = K.FOREST_PARAMS["numTrees"],

@@ -81,12 +81,20 @@ def stratified_folds(df: DataFrame, stratum: str, key: str | list[str], n_folds:
     return r.withColumn("fold", ((F.col("_rank") - 1) % n_folds).cast("int")).drop("_rank", "_n")
 
 
+def split_then_augment(df: DataFrame, stratum: str, key: str, factor: int = K.AUGMENT_FACTOR,
+                       test_fraction: float = K.TEST_FRACTION, seed: int = K.SEED) -> DataFrame:
+    """Group-aware split without a join: decide on the source rows, then augment; every noisy copy
+    inherits its source's ``is_test`` (no shuffle of the expanded data)."""
+    return augment(stratified_split(df, stratum, key, test_fraction, seed), key, factor, seed)
+
+
 def group_split(df: DataFrame, group: str, stratum: str, first_round: Column, test_fraction: float = K.TEST_FRACTION,
                 seed: int = K.SEED) -> DataFrame:
-    """Split whole groups (e.g. all noisy copies of a source row) so no group spans both sides.
+    """Split whole groups of an already-augmented frame so no group spans both sides.
 
     Groups are stratified by the stratum of their ``first_round`` row; the
     group decision joins back to every member (a shuffle join on the group).
+    When the copies are still to be made, ``split_then_augment`` needs no join.
     """
     heads = df.where(first_round).select(group, stratum)
     decided = stratified_split(heads, stratum, group, test_fraction, seed).select(group, "is_test")
