@@ -104,3 +104,28 @@ def test_oracle_spot_checks(spark, name):
         return sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
     assert canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == canon(dcols, res.fetchall())
+
+
+def test_split_then_augment_equals_group_split(spark):
+    from tremorlake.operators import sampling
+    from tremorlake.plans.q_sampling import labelled
+
+    t = labelled(spark, SF001)
+    a = sampling.split_then_augment(t, "risk_label", "event_id").select("event_id", "aug_round", "is_test")
+    b = sampling.group_split(sampling.augment(t, "event_id"), "event_id", "risk_label", F.col("aug_round") == 0) \
+        .select("event_id", "aug_round", "is_test")
+    assert a.count() == b.count() == t.count() * 10
+    assert a.exceptAll(b).count() == 0
+    assert a.groupBy("event_id").agg(F.countDistinct("is_test").alias("k")).where("k > 1").count() == 0
+
+
+def test_train_flow_smoke(spark):
+    from tremorlake.plans.train_flow import train_and_select
+    from tremorlake.sources import tables
+
+    out = scratch_dir(spark, "test-flow")
+    res = train_and_select(spark, tables.raw_blast_table(spark, SF001), out, with_cv=False, boosted_rounds=3)
+    assert res["best_model"] in (K.FOREST_NAME, K.BOOSTED_NAME)
+    assert res["comparison"].count() == 2
+    loaded, meta = model.load(spark, out)
+    assert meta["model_name"] == res["best_model"]
