@@ -50,10 +50,13 @@ def _assembler() -> VectorAssembler:
 
 
 def training_matrix(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Features + label + class weight, written once as parquet for the iterative fits (the learners
-    persist their own working copy; the parquet re-read is column-pruned)."""
-    m = with_class_weights(model_matrix(df, keep=keep))
-    return materialize(m, "train")
+    """Features + label, written once as parquet for the iterative fits, + class weight.
+
+    The weights are counted on the written table, so the upstream plan (split
+    hashing and ranking) runs once; the weight table has one row per class and
+    is broadcast into the learners' input.
+    """
+    return with_class_weights(materialize(model_matrix(df, keep=keep), "train"))
 
 
 def fit_forest(train: DataFrame, num_trees: int = K.FOREST_PARAMS["numTrees"],

@@ -4,7 +4,7 @@ Spark's exact ``percentile`` aggregate keeps a value->count map of the whole
 column in one final task; ``percentile_approx`` is not exact.  Here each
 wanted order statistic is found by histogram refinement:
 
-1. one aggregate gives n, min, max per column;
+1. one wide aggregate of the table gives n, min, max per column;
 2. while the candidate interval of a wanted rank holds more than
    ``max_window_rows`` rows, one aggregate counts rows per equal-width bin of
    the interval (``bins`` groups per rank, so the collected histogram has a
@@ -48,6 +48,16 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.where(F.col("v").isNotNull())
 
 
+def _column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """n, min, max of each column (NULL and NaN skipped) from one wide aggregate of the table."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+    row = df.agg(*aggs).first()
+    return {c: {"n": row[f"n{i}"], "mn": row[f"mn{i}"], "mx": row[f"mx{i}"]} for i, c in enumerate(cols)}
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096,
                     max_window_rows: int = 20_000) -> DataFrame:
     """DataFrame(column, p, value) with numpy/pandas 'linear' quantiles of each column.
@@ -56,8 +66,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
     """
     spark = df.sparkSession
     long = long_values(df, cols)
-    stats = {r["column"]: r for r in long.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
+    stats = _column_stats(df, cols)
 
     targets: list[_Target] = []
     wanted: list[tuple[str, float, int | None, int | None, float]] = []  # column, p, tid_lo, tid_hi, frac
