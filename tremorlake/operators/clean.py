@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
-from tremorlake.operators.quantiles import exact_quantiles
+from tremorlake.operators.quantiles import exact_quantiles, stat_aggs, stats_from_row
 from tremorlake.session import materialize
 
 COMPACT_REQUIRED = ["vibration", "tilt", "temperature", "moisture", "displacement"]
@@ -68,11 +68,11 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+def medians(df: DataFrame, cols: list[str], stats: dict | None = None) -> dict[str, float | None]:
     """Exact medians of ``cols`` (bounded result: one value per column)."""
     if not cols:
         return {}
-    rows = exact_quantiles(df, cols, [0.5]).collect()
+    rows = exact_quantiles(df, cols, [0.5], stats=stats).collect()
     return {r["column"]: r["value"] for r in rows}
 
 
@@ -99,19 +99,30 @@ def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if row[c]]
 
 
-def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Fill NULLs of numeric columns that have any with the column median."""
+def null_scan(df: DataFrame, num: list[str], txt: list[str]) -> tuple[list[str], list[str], dict]:
+    """One aggregate: numeric and text columns that hold NULLs, plus n / min / max of the numeric ones
+    (the seeds of the median search)."""
+    aggs = [F.sum(F.col(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(num + txt)]
+    row = df.agg(*aggs, *stat_aggs(num)).first()
+    nulls = [c for i, c in enumerate(num + txt) if row[f"z{i}"]]
+    return [c for c in num if c in nulls], [c for c in txt if c in nulls], stats_from_row(row, num)
+
+
+def impute_median(df: DataFrame, cols: list[str] | None = None, todo: list[str] | None = None,
+                  stats: dict | None = None) -> DataFrame:
+    """Fill NULLs of numeric columns that have any with the column median (``todo``/``stats`` from
+    ``null_scan`` skip its scans)."""
     cols = numeric_columns(df) if cols is None else cols
-    todo = columns_with_nulls(df, cols)
-    med = medians(df, todo)
+    todo = columns_with_nulls(df, cols) if todo is None else todo
+    med = medians(df, todo, stats={c: stats[c] for c in todo} if stats is not None else None)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType))
                            for c in todo if med.get(c) is not None})
 
 
-def impute_mode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def impute_mode(df: DataFrame, cols: list[str] | None = None, todo: list[str] | None = None) -> DataFrame:
     """Fill NULLs of text columns that have any with the column mode."""
     cols = text_columns(df) if cols is None else cols
-    todo = columns_with_nulls(df, cols)
+    todo = columns_with_nulls(df, cols) if todo is None else todo
     mode = modes(df, todo)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(mode[c])) for c in todo if mode.get(c) is not None})
 
@@ -122,11 +133,14 @@ def preprocess(raw: DataFrame, keys: tuple = ("event_id",)) -> DataFrame:
     ``keys`` are identifier columns kept but not imputed.  The deduplicated
     frame is written once to the shared checkpoint folder, so the imputation
     statistics and the final projection read one stable input instead of
-    re-running the dedup shuffle per statistic.
+    re-running the dedup shuffle per statistic.  One aggregate finds the
+    columns with NULLs and seeds the median search.
     """
     df = materialize(dedup(canonical_names(raw)), "dedup")
-    df = impute_median(df, numeric_columns(df, exclude=keys))
-    df = impute_mode(df, text_columns(df, exclude=keys))
+    num, txt = numeric_columns(df, exclude=keys), text_columns(df, exclude=keys)
+    num_todo, txt_todo, stats = null_scan(df, num, txt)
+    df = impute_median(df, num, todo=num_todo, stats=stats)
+    df = impute_mode(df, txt, todo=txt_todo)
     return with_label(df)
 
 

@@ -125,16 +125,16 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, exact: bool =
         aggs += [F.count(x).alias(f"n{i}"), (exact_mean(x) if exact else F.avg(x)).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}")]
-    wide = clean.agg(*aggs)
-    items = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"a{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                 F.col(f"g{i}").alias("g1"))
-        for i, c in enumerate(cols)])
-    long = wide.select(F.explode(items).alias("c")).select("c.*")
+    # one bounded row (7 values per column); its n / min / max also seed the median search
+    wide = clean.agg(*aggs).first()
+    long = df.sparkSession.createDataFrame(
+        [(c, wide[f"n{i}"], wide[f"a{i}"], wide[f"s{i}"], wide[f"lo{i}"], wide[f"hi{i}"], wide[f"g{i}"])
+         for i, c in enumerate(cols)],
+        "column string, n bigint, mean double, std double, min double, max double, g1 double")
+    stats = {c: {"n": wide[f"n{i}"], "mn": wide[f"lo{i}"], "mx": wide[f"hi{i}"]} for i, c in enumerate(cols)}
     n = F.col("n").cast("double")
     skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    med = exact_quantiles(clean, cols, [0.5]).select("column", F.col("value").alias("median"))
+    med = exact_quantiles(clean, cols, [0.5], stats=stats).select("column", F.col("value").alias("median"))
     return (long.join(F.broadcast(med), "column", "left")
             .select("column", "n", "mean", "std", "min", "median", "max", skew.alias("skew")))
 

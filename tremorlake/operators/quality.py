@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as K
 from tremorlake.operators.clean import numeric_columns
-from tremorlake.operators.quantiles import exact_quantiles
+from tremorlake.operators.quantiles import exact_quantiles, stat_aggs, stats_from_row
 
 LABEL_CANDIDATES = ["risk_label", "vibration_level", "Vibration_Level"]
 PPV_CANDIDATES = ["ppv_mms", "PPV(mm/s)"]
@@ -22,10 +22,11 @@ def first_present(df: DataFrame, candidates: list[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
-def quartile_bounds(df: DataFrame, cols: list[str] | None = None, k: float = K.IQR_K) -> DataFrame:
+def quartile_bounds(df: DataFrame, cols: list[str] | None = None, k: float = K.IQR_K,
+                    stats: dict | None = None) -> DataFrame:
     """Per column: q25, q75 (exact, linear), iqr, lower and upper fences."""
     cols = numeric_columns(df) if cols is None else cols
-    q = exact_quantiles(df, cols, [0.25, 0.75])
+    q = exact_quantiles(df, cols, [0.25, 0.75], stats=stats)
     w = (q.groupBy("column")
          .agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q25"),
               F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q75")))
@@ -34,8 +35,8 @@ def quartile_bounds(df: DataFrame, cols: list[str] | None = None, k: float = K.I
                     (F.col("q25") - F.lit(k) * iqr).alias("lower"), (F.col("q75") + F.lit(k) * iqr).alias("upper"))
 
 
-def _bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    return {r["column"]: (r["lower"], r["upper"]) for r in quartile_bounds(df, cols).collect()}
+def _bounds(df: DataFrame, cols: list[str], stats: dict | None = None) -> dict[str, tuple[float, float]]:
+    return {r["column"]: (r["lower"], r["upper"]) for r in quartile_bounds(df, cols, stats=stats).collect()}
 
 
 def _outside(c: str, lo, hi) -> Column:
@@ -59,9 +60,10 @@ def iqr_flags(df: DataFrame, cols: list[str] | None = None, keep: list[str] | No
 def outlier_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per column: IQR outliers and |z| > 3 outliers (z with sample std + 1e-10), side by side."""
     cols = numeric_columns(df) if cols is None else cols
-    b = _bounds(df, cols)
+    # one pass for mean, std and the quantile search's n / min / max
     st = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)],
-                *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+                *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)], *stat_aggs(cols)).first()
+    b = _bounds(df, cols, stats=stats_from_row(st, cols))
     aggs = []
     for i, c in enumerate(cols):
         mean, std = st[f"a{i}"], st[f"s{i}"]

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,30 +43,45 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, v) pairs of the given numeric columns, NULL and NaN dropped."""
     if not cols:
         raise ValueError("no columns")
-    wide = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    wide = df.select(*[clean_value(c).alias(c) for c in cols])
     long = wide.unpivot([], cols, "column", "v")
     return long.where(F.col("v").isNotNull())
 
 
-def _column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """n, min, max of each column (NULL and NaN skipped) from one wide aggregate of the table."""
+def clean_value(c: str) -> Column:
+    """The column as double with NaN turned into NULL (the values the quantiles rank)."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def stat_aggs(cols: list[str]) -> list[Column]:
+    """Aggregates n{i}, mn{i}, mx{i} per column; callers add them to an aggregate they run anyway."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        x = clean_value(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-    row = df.agg(*aggs).first()
+    return aggs
+
+
+def stats_from_row(row, cols: list[str]) -> dict[str, dict]:
     return {c: {"n": row[f"n{i}"], "mn": row[f"mn{i}"], "mx": row[f"mx{i}"]} for i, c in enumerate(cols)}
 
 
+def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """n, min, max of each column (NULL and NaN skipped) from one wide aggregate of the table."""
+    return stats_from_row(df.agg(*stat_aggs(cols)).first(), cols)
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096,
-                    max_window_rows: int = 20_000) -> DataFrame:
+                    max_window_rows: int = 20_000, stats: dict[str, dict] | None = None) -> DataFrame:
     """DataFrame(column, p, value) with numpy/pandas 'linear' quantiles of each column.
 
-    Columns with no non-NULL value give a NULL quantile.
+    Columns with no non-NULL value give a NULL quantile.  ``stats`` (from
+    ``stats_from_row`` over ``stat_aggs``) saves the first pass when the caller
+    already aggregates the table.
     """
     spark = df.sparkSession
     long = long_values(df, cols)
-    stats = _column_stats(df, cols)
+    stats = column_stats(df, cols) if stats is None else stats
 
     targets: list[_Target] = []
     wanted: list[tuple[str, float, int | None, int | None, float]] = []  # column, p, tid_lo, tid_hi, frac
