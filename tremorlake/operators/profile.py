@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.operators.clean import numeric_columns, text_columns
@@ -36,26 +37,55 @@ def categorize_column(c: Column) -> Column:
     return expr
 
 
+def _distinct_key(df: DataFrame, f: T.StructField) -> Column | None:
+    """The value as text for exact distinct counting (-0.0 and 0.0 are one value, as in Spark's
+    grouping); None for complex types, whose text form need not be injective."""
+    c = df[f.name]
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).cast("string")
+    if isinstance(f.dataType, T.AtomicType):
+        return c.cast("string")
+    return None
+
+
+def distinct_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """(ordinal, uniques): exact distinct non-NULL values per column from one long (column, value)
+    distinct, pre-aggregated map-side; a plain shuffle instead of one Expand copy per column."""
+    keyed = [(i, _distinct_key(df, f)) for i, f in fields]
+    wide = df.select(*[k.alias(f"c{i}") for i, k in keyed])
+    long = wide.unpivot([], [f"c{i}" for i, _ in keyed], "k", "value").where(F.col("value").isNotNull())
+    return (long.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("uniques"))
+            .select(F.substring("k", 2, 9).cast("int").alias("ordinal"), "uniques"))
+
+
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: ordinal, name, dtype, missing, missing_pct, uniques, category.
 
-    Distinct counts are exact by default (Catalyst expands the distinct
-    aggregates and pre-aggregates per value map-side); ``exact=False`` uses
-    HyperLogLog++ for very wide tables.
+    Distinct counts are exact by default: atomic columns through one long
+    (column, value) distinct, complex ones with ``count_distinct``;
+    ``exact=False`` uses HyperLogLog++ for very wide tables.
     """
     fields = df.schema.fields
+    by_long = [(i, f) for i, f in enumerate(fields) if exact and _distinct_key(df, f) is not None]
+    in_long = {i for i, _ in by_long}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = df[f.name]
         aggs.append(F.sum(c.isNull().cast("long")).alias(f"m{i}"))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"u{i}"))
+        if i not in in_long:
+            aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"u{i}"))
     wide = df.agg(*aggs)
     items = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
                  F.lit(f.dataType.simpleString()).alias("dtype"),
-                 F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("uniques"))
+                 F.col(f"m{i}").alias("missing"),
+                 (F.lit(None).cast("long") if i in in_long else F.col(f"u{i}")).alias("uniques"))
         for i, f in enumerate(fields)])
     long = wide.select("rows", F.explode(items).alias("c")).select("rows", "c.*")
+    if by_long:
+        counted = distinct_counts(df, by_long).withColumnRenamed("uniques", "_u")
+        long = (long.join(F.broadcast(counted), "ordinal", "left")  # one row per column
+                .withColumn("uniques", F.coalesce("uniques", "_u", F.lit(0).cast("long"))).drop("_u"))
     pct = F.when(F.col("rows") > 0, F.col("missing") * F.lit(100.0) / F.col("rows"))
     return long.select("ordinal", "column", "dtype", "missing", pct.alias("missing_pct"), "uniques",
                        categorize_column(F.col("column")).alias("category"), "rows",
