@@ -7,8 +7,9 @@ wanted order statistic is found by histogram refinement:
 1. one wide aggregate of the table gives n, min, max per column;
 2. while the candidate interval of a wanted rank holds more than
    ``max_window_rows`` rows, one aggregate counts rows per equal-width bin of
-   the interval (``bins`` groups per rank, so the collected histogram has a
-   fixed size bound) and the interval shrinks to the bin holding the rank;
+   the interval (``bins`` groups per distinct interval, so the collected
+   histogram has a fixed size bound; ranks with the same interval share one)
+   and the interval shrinks to the bin holding the rank;
 3. the final interval (<= ``max_window_rows`` rows, 20k by default) is ranked with a window
    partitioned by the wanted rank, lazily, inside the returned plan.
 
@@ -112,7 +113,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
         open_t = [t for t in targets if t.value is None and t.inside > max_window_rows]
         if not open_t:
             break
-        tdf = spark.createDataFrame([(t.tid, t.column, t.lo, t.hi) for t in open_t], tschema)
+        # targets with the same interval (all targets of a column on the first pass) share a histogram
+        intervals: dict[tuple, int] = {}
+        for t in open_t:
+            intervals.setdefault((t.column, t.lo, t.hi), len(intervals))
+        tdf = spark.createDataFrame([(i, c, lo, hi) for (c, lo, hi), i in intervals.items()], tschema)
         width = (F.col("hi") - F.col("lo"))
         binned = (long.join(F.broadcast(tdf), "column")
                   .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
@@ -125,7 +130,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
         for t in open_t:
             need = t.rank - t.below
             seen = 0
-            for b, n, mn, mx in sorted(hist.get(t.tid, [])):
+            for b, n, mn, mx in sorted(hist.get(intervals[(t.column, t.lo, t.hi)], [])):
                 if seen + n > need:
                     t.below += seen
                     t.lo, t.hi, t.inside = float(mn), float(mx), int(n)
