@@ -154,3 +154,16 @@ def test_exact_mean_is_correctly_rounded(spark):
     assert df.agg(profile.exact_sum(F.col("x"))).first()[0] == math.fsum(vals)
     big = spark.createDataFrame([(1e15,), (1.0,)], "x double")
     assert big.agg(profile.exact_mean(F.col("x"))).first()[0] == pytest.approx((1e15 + 1) / 2)
+
+
+def test_profile_distinct_counts_match_count_distinct(spark):
+    """Long-form distinct counts equal Spark's count_distinct: -0.0 = 0.0, NaN = NaN, NULL skipped,
+    float and timestamp columns, and an array column (counted by the count_distinct fallback)."""
+    df = spark.createDataFrame(
+        [(0.0, 1.5, "a", [1, 2]), (-0.0, 1.5, "a", [1, 2]), (float("nan"), None, None, [2, 1]),
+         (float("nan"), 2.5, "b", None), (None, -0.0, "", [1]), (3.0, 0.0, "a", [1])],
+        "d double, f float, s string, arr array<int>").withColumn("t", F.current_timestamp())
+    got = {r["column"]: r["uniques"] for r in profile.column_profile(df).collect()}
+    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    assert got == want
+    assert got["d"] == 3 and got["f"] == 3 and got["s"] == 3 and got["arr"] == 3
