@@ -167,3 +167,27 @@ def test_profile_distinct_counts_match_count_distinct(spark):
     want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
     assert got == want
     assert got["d"] == 3 and got["f"] == 3 and got["s"] == 3 and got["arr"] == 3
+
+
+def test_quantile_seeds_from_report_aggregates(spark):
+    """Seeding the search with n / min / max from a caller's aggregate gives the unseeded result
+    (NaN and NULL skipped, a hot value holding a third of the rows, several histogram passes)."""
+    from tremorlake.operators.quantiles import stat_aggs, stats_from_row
+
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=3000)
+    a[::3] = 0.25  # hot value
+    b = rng.exponential(size=3000)
+    b[::50] = np.nan
+    pdf = pd.DataFrame({"a": a, "b": b})
+    df = spark.createDataFrame(pdf).withColumn("b", F.when(F.col("a") > 1.5, None).otherwise(F.col("b")))
+    probs = [0.1, 0.25, 0.5, 0.75]
+    stats = stats_from_row(df.agg(*stat_aggs(["a", "b"])).first(), ["a", "b"])
+    kw = dict(bins=8, max_window_rows=50)
+    seeded = sorted(exact_quantiles(df, ["a", "b"], probs, stats=stats, **kw).collect())
+    plain = sorted(exact_quantiles(df, ["a", "b"], probs, **kw).collect())
+    assert seeded == plain
+    vals = df.toPandas()
+    for r in seeded:
+        col = vals[r["column"]].dropna().to_numpy()
+        assert r["value"] == pytest.approx(np.quantile(col, r["p"]), abs=1e-12)
