@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontam, exact_dedup, langid, line_dedup, packing, quality, sharding, simhash
+from tremorlake.llm import decontam, exact_dedup, langid, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup
 from tremorlake.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_score.stupid_backoff(documents(spark, sf_dir), order=3, min_count=2, backoff=0.4)
+    per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return rows.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"),
+                       F.round(per_word, 9).alias("log_score_per_word"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = decontam.contamination(documents(spark, sf_dir), items, window=10)
@@ -65,6 +72,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(documents(spark, sf_dir), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -129,8 +143,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_stupid_backoff": op5_stupid_backoff,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
