@@ -36,6 +36,13 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 _PLAIN = re.compile("[\x00-įı-ɏ]*\\Z")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _classes() -> tuple[str, str]:
     import unicodedata
 

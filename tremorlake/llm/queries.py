@@ -7,24 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tremorlake.llm import decontam, exact_dedup, langid, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup
-from tremorlake.llm.common import documents
-
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
+from tremorlake.llm.common import documents, id_fold
 
 def sha256_text(col) -> F.Column:
     return F.sha2(col.cast("binary"), 256)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=1)
+    pieces = packing.pack(documents(spark, sf_dir), packing.tokenizer_path(), capacity=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
 
@@ -61,15 +53,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (n_hit > 0).alias("contaminated"))
 
 
-def fold(buckets: int) -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(buckets))
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = langid.learn(docs.filter(fold(4) != 2))
+    model = langid.learn(docs.filter(id_fold(4) != 2))
     rows = langid.identify(docs, model, ["doc_id"])
-    return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +70,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.learn(docs, labels.filter(fold(5) != 0), cut=0.3)
+    model = quality.learn(docs, labels.filter(id_fold(5) != 0), cut=0.3)
     rows = quality.score(docs, model, ["doc_id"])
-    return rows.select("doc_id", (fold(5) == 0).alias("held_out"), "score",
+    return rows.select("doc_id", (id_fold(5) == 0).alias("held_out"), "score",
                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -139,6 +127,7 @@ FROM j GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_histogram_shards": op3_histogram_shards,
@@ -150,7 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
+    "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_line_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
