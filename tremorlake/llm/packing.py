@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Latin text: here lower-casing and composition act per character, and the classes below are stable.
-_PLAIN = re.compile("[\x00-įı-ɏ]*\\Z")
+_PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ]*\\Z")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

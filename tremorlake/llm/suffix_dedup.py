@@ -225,6 +225,7 @@ class Refinement:
 
     def repeated(self) -> DataFrame:
         """``(doc_id, tag, first, last)``: ranges of window starts whose windows start elsewhere, too."""
+        width = self.length - self.gram + 1
         found = written(self.find_anchors(), "suffix-anchors")
         place = F.struct("doc_id", "tag", "low", "high", "anchor")
         kinds = written(found.groupBy("bucket", "stretch")
@@ -249,7 +250,7 @@ class Refinement:
             judged = written(judged.select("stretch", "n", "part", "core", "known"), "suffix-judged")
             places = live.filter("n = 1").select("stretch", "doc_id", "tag", "anchor")
             ranges.append(judged.filter("n = 1 AND known").join(places, "stretch").select(
-                "doc_id", "tag", (F.col("anchor") - F.col("part") - (size - 1)).alias("first"),
+                "doc_id", "tag", (F.col("anchor") - F.least(F.col("part") + size, F.lit(width)) + 1).alias("first"),
                 (F.col("anchor") - F.col("part")).alias("last")))
             if size > 1:
                 open_cores = (judged.groupBy("core").agg(F.count(F.lit(1)).alias("m"),
