@@ -251,8 +251,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
 
         @F.udf("string")
         def text_without(text, spans):
-            return _cut(text.encode(), [(s.start, s.end) for s in spans]).decode()
+            return _cut(text.encode(), [(s.start, s.end) for s in spans]).decode() if spans else text
 
-        text = F.when(F.size("__llm_spans") > 0, text_without("text", "__llm_spans")).otherwise(F.col("text"))
+        text = text_without("text", "__llm_spans")
     kept = marked.filter(hit_words <= F.col("__llm_words") * max_coverage)
     return kept.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

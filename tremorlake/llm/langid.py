@@ -41,6 +41,15 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
+def _collapse(text: str) -> str:
+    """Runs of characters that are no letters as one blank each."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = letter[1:] | letter[:-1]
+    return np.where(letter, codes, 32)[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the texts' letters (other runs are one blank), each one's text, and texts with letters."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -67,6 +76,8 @@ def _slabs(texts: list[str], n: int) -> Iterator[tuple[list[int], list[str]]]:
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
         t = f" {t.lower()} "
+        if len(t) > SLAB:
+            t = _collapse(t)  # a cut then parts single characters only
         for a in range(0, max(1, len(t) - n + 1), SLAB):
             piece = t[a:a + SLAB + n - 1]
             at.append(i)

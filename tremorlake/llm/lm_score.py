@@ -218,7 +218,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, order: int
                     there.append(has)
                 log = score_words(counts, there, total, backoff)
                 sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log, minlength=len(sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums)],
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums.astype(float))],
                                                  ["doc_id", "n_words", "log_score"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, log_score double")
