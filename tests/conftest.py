@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,6 +15,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from tremorlake.session import build_session
 
-    s = build_session("local[*]", app="tremorlake-tests", shuffle_partitions=8)
+    s = build_session("local[*]", app="tremorlake-tests", shuffle_partitions=8,
+                      extra={"spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-")})
     yield s
     s.stop()

@@ -52,5 +52,3 @@ def waveform_features(samples) -> Column:
     )
     return F.when(F.size(w) > 0, feats)
 
-
-array_features = waveform_features

@@ -92,17 +92,25 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {r["column"]: r["mode"] for r in best.collect()}
 
 
+def present(df: DataFrame, c: str) -> Column:
+    """The column with NaN as NULL."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.nanvl(F.col(c), F.lit(None).cast(kind))
+    return F.col(c)
+
+
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
     if not cols:
         return []
-    row = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first()
+    row = df.agg(*[F.count(F.when(present(df, c).isNull(), 1)).alias(c) for c in cols]).first()
     return [c for c in cols if row[c]]
 
 
 def null_scan(df: DataFrame, num: list[str], txt: list[str]) -> tuple[list[str], list[str], dict]:
     """One aggregate: numeric and text columns that hold NULLs, plus n / min / max of the numeric ones
     (the seeds of the median search)."""
-    aggs = [F.sum(F.col(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(num + txt)]
+    aggs = [F.count(F.when(present(df, c).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(num + txt)]
     row = df.agg(*aggs, *stat_aggs(num)).first()
     nulls = [c for i, c in enumerate(num + txt) if row[f"z{i}"]]
     return [c for c in num if c in nulls], [c for c in txt if c in nulls], stats_from_row(row, num)
@@ -115,7 +123,7 @@ def impute_median(df: DataFrame, cols: list[str] | None = None, todo: list[str]
     cols = numeric_columns(df) if cols is None else cols
     todo = columns_with_nulls(df, cols) if todo is None else todo
     med = medians(df, todo, stats={c: stats[c] for c in todo} if stats is not None else None)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType))
+    return df.withColumns({c: F.coalesce(present(df, c), F.lit(med[c]).cast(df.schema[c].dataType))
                            for c in todo if med.get(c) is not None})
 
 
@@ -153,11 +161,6 @@ def validate_compact(df: DataFrame) -> DataFrame:
     return df.withColumn("n_missing", missing).withColumn("is_valid", F.col("n_missing") == 0)
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    v = validate_compact(df)
-    return v.where("is_valid"), v.where(~F.col("is_valid"))
-
-
 def rule_alerts(df: DataFrame, threshold: float = K.RULE_ALERT_MAGNITUDE) -> DataFrame:
     """Model-independent alert: resultant acceleration above the threshold."""
     return df.where(F.col("vibration_magnitude_ms2") > F.lit(threshold))

@@ -8,7 +8,7 @@ give 0 (zero_division=0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
@@ -64,11 +64,17 @@ def classification_report(cm_long: DataFrame) -> DataFrame:
     return cls.unionByName(macro).unionByName(weighted)
 
 
-def compare(metrics: dict[str, DataFrame]) -> DataFrame:
-    """Side-by-side table: one row per model (``metrics`` maps name -> one-row summary), in given order."""
+def compare(metrics: dict[str, DataFrame], cross: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Side-by-side table: one row per model (``metrics`` maps name -> one-row summary), in given order.
+
+    ``cross`` maps names to the summary of the out-of-fold predictions: cv_accuracy, cv_f1, cv_critical_recall.
+    """
     out = None
     for i, (name, m) in enumerate(metrics.items()):
         row = m.select(F.lit(name).alias("model"), F.lit(i).alias("priority"), "*")
+        if cross and name in cross:
+            cv = cross[name].select(*[F.col(c).alias(f"cv_{c}") for c in ("accuracy", "f1", "critical_recall")])
+            row = row.join(F.broadcast(cv))  # one row each
         out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     return out
 
@@ -92,8 +98,9 @@ def argmax_label(probs: list, classes: list[str] = K.CLASSES):
 def class_weights(df: DataFrame, label: str = "risk_label") -> DataFrame:
     """Balanced class weight n / (k * n_c) per class (one row per class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    all_ = Window.partitionBy()  # over the per-class counts only (k rows)
-    return counts.withColumn("weight", F.sum("n").over(all_) / (F.count(F.lit(1)).over(all_) * F.col("n")))
+    one = counts.agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_classes"))
+    return (counts.join(F.broadcast(one))  # one row of totals
+            .withColumn("weight", F.col("_rows") / (F.col("_classes") * F.col("n"))).drop("_rows", "_classes"))
 
 
 def percent_text(x) -> F.Column:

@@ -32,13 +32,19 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0) -> DataFrame:
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[std(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    return df.withColumns({c: (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"]) for i, c in enumerate(cols)})
+    # a constant column is centred and left at scale 1
+    return df.withColumns({c: (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(cols)})
 
 
 def with_class_weights(df: DataFrame, label: str = "risk_label") -> DataFrame:
-    """Attach the balanced weight n / (k * n_c); the weight table has one row per class (broadcast)."""
-    w = evaluate.class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(w), label)
+    """Attach the balanced weight n / (k * n_c) of each row's class; rows without a label are an error."""
+    weights = {r[label]: r["weight"] for r in evaluate.class_weights(df, label).select(label, "weight").collect()}
+    if None in weights:
+        raise ValueError(f"rows without {label}: fill or filter them before training")
+    if not weights:
+        raise ValueError("no training rows")
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return df.withColumn("weight", table[F.col(label)])
 
 
 def _indexer() -> StringIndexer:
@@ -49,14 +55,20 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=K.FEATURES, outputCol="features", handleInvalid="keep")
 
 
-def training_matrix(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def training_matrix(df: DataFrame, keep: list[str] | None = None, rows_per_partition: int = 250_000) -> DataFrame:
     """Features + label, written once as parquet for the iterative fits, + class weight.
 
-    The weights are counted on the written table, so the upstream plan (split
-    hashing and ranking) runs once; the weight table has one row per class and
-    is broadcast into the learners' input.
+    The learners draw their samples per partition, so rows are dealt by a hash
+    of their content to one partition per ``rows_per_partition`` rows (4 at
+    least) and sorted there: the same rows give the same model whatever the
+    number of cores or files.
     """
-    return with_class_weights(materialize(model_matrix(df, keep=keep), "train"))
+    table = materialize(model_matrix(df, keep=keep), "train")
+    parts = max(4, -(-table.count() // rows_per_partition))
+    row = F.xxhash64(*[F.col(c) for c in table.columns])
+    dealt = (with_class_weights(table).withColumn("_row", row).repartition(parts, "_row")
+             .sortWithinPartitions("_row", *K.FEATURES).drop("_row"))
+    return dealt
 
 
 def fit_forest(train: DataFrame, num_trees: int = K.FOREST_PARAMS["numTrees"],
@@ -101,7 +113,7 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
     """Multiclass boosting as three one-vs-rest ``GBTClassifier`` fits (no OneVsRest: it has no probabilities)."""
     prep = Pipeline(stages=[_indexer(), _assembler()]).fit(train)
     labels = prep.stages[0].labels
-    data = share_cores(prep.transform(train), len(labels))
+    data = prep.transform(train)
 
     def fit_one(k: int):
         y = data.withColumn("_y", (F.col(LABEL_IDX) == k).cast("double"))
@@ -116,16 +128,6 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
     return BoostedModel(prep, list(zip(labels, fitted)))
 
 
-def share_cores(df: DataFrame, n_fits: int) -> DataFrame:
-    """On a small input (no more partitions than cores), give each of ``n_fits`` concurrent fits a
-    share of the cores: with the FIFO scheduler one job's tasks would otherwise take every core and
-    the other fits would queue.  A large input is left as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() <= cores and n_fits > 1:
-        return df.coalesce(max(1, cores // n_fits))
-    return df
-
-
 def in_parallel(fn, items, max_workers: int = 5) -> list:
     """Run independent fits as concurrent Spark jobs from a small driver thread pool (results in order)."""
     from concurrent.futures import ThreadPoolExecutor
@@ -160,8 +162,9 @@ def predict(model, df: DataFrame, model_name: str, keep: list[str] | None = None
 
 
 def fold_predictions(train: DataFrame, fold_col: str, fit, n_folds: int = K.N_FOLDS) -> DataFrame:
-    """Out-of-fold predictions: fit on the other folds, predict the held-out fold, union (pooled metrics)."""
-    models = in_parallel(lambda k: fit(train.where(F.col(fold_col) != k)), range(n_folds))
+    """Out-of-fold predictions: fit on the other folds (with their own class weights), predict the held-out one, unite."""
+    models = in_parallel(lambda k: fit(with_class_weights(train.where(F.col(fold_col) != k).drop("weight"))),
+                         range(n_folds))
     out = None
     for k, m in enumerate(models):
         p, labels = _prob_array(m, train.where(F.col(fold_col) == k))
@@ -221,24 +224,6 @@ def load(spark: SparkSession, path: str):
     return PipelineModel.load(f"{path}/pipeline"), meta
 
 
-def preprocess_stages(categorical: list[str] | None = None, scale: bool = False) -> list:
-    """Feature stages: one-hot for text columns (unknown -> zeros), the ordered assembler, and an
-    optional standard scaler (trees do not need it)."""
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler
-
-    stages, extra = [], []
-    for c in categorical or []:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_vec", dropLast=True))
-        extra.append(f"{c}_vec")
-    out = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=K.FEATURES + extra, outputCol=out, handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol=out, outputCol="features", withMean=True, withStd=True))
-    return stages
-
-
 def score(model, df: DataFrame, model_name: str, keep: list[str] | None = None) -> DataFrame:
     """Batch or streaming scoring with the metadata echo (node_id, timestamp) of each packet."""
     from tremorlake.operators.clean import echo_metadata

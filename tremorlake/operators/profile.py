@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.operators.clean import numeric_columns, text_columns
-from tremorlake.operators.quantiles import exact_quantiles
+from tremorlake.operators.quantiles import clean_value, exact_quantiles, stat_aggs, stats_from_row
 
 
 def categorize_name(name: str) -> str | None:
@@ -37,55 +37,51 @@ def categorize_column(c: Column) -> Column:
     return expr
 
 
-def _distinct_key(df: DataFrame, f: T.StructField) -> Column | None:
-    """The value as text for exact distinct counting (-0.0 and 0.0 are one value, as in Spark's
-    grouping); None for complex types, whose text form need not be injective."""
-    c = df[f.name]
+def _value_key(f: T.StructField) -> Column:
+    """The value for counting: NaN as missing, -0.0 and 0.0 as one value; (two hashes, is missing)."""
+    c = F.col(sql_name(f.name))
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-        return F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).cast("string")
-    if isinstance(f.dataType, T.AtomicType):
-        return c.cast("string")
-    return None
+        c = F.when(F.isnan(c), F.lit(None)).when(c == 0, F.lit(0.0)).otherwise(c)
+    elif not isinstance(f.dataType, T.AtomicType):
+        c = F.to_json(F.struct(c.alias("v"), c.isNull().alias("null")))
+        return F.struct(F.xxhash64(c).alias("h1"), F.hash(c).alias("h2"), F.col(sql_name(f.name)).isNull().alias("gone"))
+    return F.struct(F.xxhash64(c).alias("h1"), F.hash(c).alias("h2"), c.isNull().alias("gone"))
 
 
-def distinct_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """(ordinal, uniques): exact distinct non-NULL values per column from one long (column, value)
-    distinct, pre-aggregated map-side; a plain shuffle instead of one Expand copy per column."""
-    keyed = [(i, _distinct_key(df, f)) for i, f in fields]
-    wide = df.select(*[k.alias(f"c{i}") for i, k in keyed])
-    long = wide.unpivot([], [f"c{i}" for i, _ in keyed], "k", "value").where(F.col("value").isNotNull())
-    return (long.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("uniques"))
-            .select(F.substring("k", 2, 9).cast("int").alias("ordinal"), "uniques"))
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: ordinal, name, dtype, missing, missing_pct, uniques, category.
 
-    Distinct counts are exact by default: atomic columns through one long
-    (column, value) distinct, complex ones with ``count_distinct``;
-    ``exact=False`` uses HyperLogLog++ for very wide tables.
+    One pass: every value becomes (column, 96 hash bits), counted map-side and
+    shuffled as fixed-width keys; missing values, rows and distinct values are
+    sums over these groups.  ``exact=False`` uses HyperLogLog++ for tables
+    whose columns are mostly distinct.
     """
     fields = df.schema.fields
-    by_long = [(i, f) for i, f in enumerate(fields) if exact and _distinct_key(df, f) is not None]
-    in_long = {i for i, _ in by_long}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields):
-        c = df[f.name]
-        aggs.append(F.sum(c.isNull().cast("long")).alias(f"m{i}"))
-        if i not in in_long:
-            aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"u{i}"))
-    wide = df.agg(*aggs)
-    items = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
-                 F.lit(f.dataType.simpleString()).alias("dtype"),
-                 F.col(f"m{i}").alias("missing"),
-                 (F.lit(None).cast("long") if i in in_long else F.col(f"u{i}")).alias("uniques"))
-        for i, f in enumerate(fields)])
-    long = wide.select("rows", F.explode(items).alias("c")).select("rows", "c.*")
-    if by_long:
-        counted = distinct_counts(df, by_long).withColumnRenamed("uniques", "_u")
-        long = (long.join(F.broadcast(counted), "ordinal", "left")  # one row per column
-                .withColumn("uniques", F.coalesce("uniques", "_u", F.lit(0).cast("long"))).drop("_u"))
+    if exact:
+        entries = F.array(*[F.struct(F.lit(i).alias("ordinal"), _value_key(f).alias("k")) for i, f in enumerate(fields)])
+        values = (df.select(F.explode(entries).alias("e")).select("e.ordinal", "e.k.*")
+                  .groupBy("ordinal", "h1", "h2", "gone").agg(F.count(F.lit(1)).alias("n")))
+        counted = values.groupBy("ordinal").agg(
+            F.sum("n").alias("rows"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("missing"),
+            F.count(F.when(~F.col("gone"), 1)).alias("uniques"))
+    else:
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, f in enumerate(fields):
+            k = _value_key(f)
+            aggs += [F.count(F.when(k["gone"], 1)).alias(f"m{i}"),
+                     F.approx_count_distinct(F.when(~k["gone"], k["h1"])).alias(f"u{i}")]
+        counted = df.agg(*aggs).select("rows", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("ordinal"), F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("uniques"))
+            for i in range(len(fields))])).alias("c")).select("rows", "c.*")
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "ordinal int, column string, dtype string")
+    zero = F.lit(0).cast("long")
+    long = names.join(F.broadcast(counted), "ordinal", "left").withColumns(  # one row per column on both sides
+        {c: F.coalesce(c, zero) for c in ("rows", "missing", "uniques")})
     pct = F.when(F.col("rows") > 0, F.col("missing") * F.lit(100.0) / F.col("rows"))
     return long.select("ordinal", "column", "dtype", "missing", pct.alias("missing_pct"), "uniques",
                        categorize_column(F.col("column")).alias("category"), "rows",
@@ -93,78 +89,55 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def domain_categories(profile: DataFrame) -> DataFrame:
-    """Column names grouped by domain category (unmatched names dropped), names sorted."""
+    """Column names and missing values by domain category (unmatched names dropped), names sorted."""
     return (profile.where(F.col("category").isNotNull())
             .groupBy("category")
             .agg(F.array_join(F.sort_array(F.collect_list("column")), ", ").alias("columns"),
-                 F.count("*").alias("n_columns")))
+                 F.count("*").alias("n_columns"), F.sum("missing").alias("missing")))
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """(metric, value): rows, exact duplicate rows, duplicates on numeric columns only.
 
-    Each count is rows minus groups of a full-row ``groupBy``; the group counts
-    are combined map-side, so a hot duplicated row costs one group.
+    One scan: the full rows are grouped (combined map-side, so a hot row costs
+    one group), and the numeric groups are made of those groups.
     """
-    def dups(frame: DataFrame, name: str) -> DataFrame:
-        g = frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias("k"))
-        return g.agg((F.sum("k") - F.count(F.lit(1))).alias("value")).select(
-            F.lit(name).alias("metric"), F.coalesce(F.col("value"), F.lit(0)).cast("long").alias("value"))
-
-    rows = df.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("rows").alias("metric"), "value")
     num = numeric_columns(df)
-    out = rows.unionByName(dups(df, "duplicate_rows"))
-    if num:
-        out = out.unionByName(dups(df.select(*num), "numeric_duplicate_rows"))
-    return out
-
-
-def exact_sum(x: Column) -> Column:
-    """Sum of double values rounded once (to the nearest double), whatever the partitioning.
-
-    Each value splits into its integer part (truncation) and fraction, both exact in double
-    arithmetic; the parts are summed as decimals (fraction to 1e-24), so no low bits are lost in
-    an order that depends on how rows fall into tasks.  Falls back to the double sum when a
-    magnitude reaches 1e14.
-    """
-    ok = F.abs(x) < F.lit(1e14)
-    whole = F.when(ok, x.cast("long"))
-    frac = x - whole.cast("double")
-    s_whole = F.sum(whole.cast("decimal(38,0)")).try_cast("decimal(38,24)")
-    s_frac = F.sum(frac.cast("decimal(38,24)"))
-    exact = (s_whole + s_frac).cast("double")
-    return F.when((F.count(whole) == F.count(x)) & s_whole.isNotNull(), exact).otherwise(F.sum(x))
-
-
-def exact_mean(x: Column) -> Column:
-    """Mean as the exactly summed total divided by the count (one IEEE division)."""
-    return exact_sum(x) / F.count(x)
-
-
-def numeric_summary(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    full = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_k"))
+    groups = full.groupBy(*num).agg(F.sum("_k").alias("_k"), F.count(F.lit(1)).alias("_full")) if num else \
+        full.withColumn("_full", F.lit(1))
+    zero = F.lit(0).cast("long")
+    one = groups.agg(F.coalesce(F.sum("_k"), zero).alias("rows"),
+                     F.coalesce(F.sum("_k") - F.sum("_full"), zero).alias("duplicate_rows"),
+                     F.coalesce(F.sum("_k") - F.count(F.lit(1)), zero).alias("numeric_duplicate_rows"))
+    names = ["rows", "duplicate_rows", *(["numeric_duplicate_rows"] if num else [])]
+    return one.select(*[F.col(n).cast("long") for n in names]).unpivot([], names, "metric", "value")
+
+
+def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: n, mean, std (sample), min, median (exact), max, skew (bias-corrected G1).
 
-    ``exact`` sums the mean exactly (reproducible under any partitioning, about 60x the CPU of a
-    double sum per value); ``exact=False`` uses the plain double mean for very large scans.
+    NaN counts as missing; the skew of a constant column is 0.
     """
     cols = numeric_columns(df) if cols is None else cols
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column string, n long, mean double, std double, min double, median double, max double, skew double")
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"n{i}"), (exact_mean(x) if exact else F.avg(x)).alias(f"a{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}")]
-    # one bounded row (7 values per column); its n / min / max also seed the median search
-    wide = clean.agg(*aggs).first()
+        x = clean_value(c)
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 F.when(F.min(x) < F.max(x), F.skewness(x)).when(F.count(x) > 0, 0.0).alias(f"g{i}")]
+    # one bounded row (a few values per column), which also seeds the median search
+    wide = df.agg(*aggs, *stat_aggs(cols)).first()
     long = df.sparkSession.createDataFrame(
-        [(c, wide[f"n{i}"], wide[f"a{i}"], wide[f"s{i}"], wide[f"lo{i}"], wide[f"hi{i}"], wide[f"g{i}"])
-         for i, c in enumerate(cols)],
+        [(c, *(wide[f"{k}{i}"] for k in ("c", "a", "s", "lo", "hi", "g"))) for i, c in enumerate(cols)],
         "column string, n bigint, mean double, std double, min double, max double, g1 double")
-    stats = {c: {"n": wide[f"n{i}"], "mn": wide[f"lo{i}"], "mx": wide[f"hi{i}"]} for i, c in enumerate(cols)}
     n = F.col("n").cast("double")
     skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    med = exact_quantiles(clean, cols, [0.5], stats=stats).select("column", F.col("value").alias("median"))
+    med = exact_quantiles(df, cols, [0.5], stats=stats_from_row(wide, cols)) \
+        .select("column", F.col("value").alias("median"))
     return (long.join(F.broadcast(med), "column", "left")
             .select("column", "n", "mean", "std", "min", "median", "max", skew.alias("skew")))
 

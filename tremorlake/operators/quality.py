@@ -7,12 +7,15 @@ at all and the flag projection stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
+from tremorlake.functions import physics as P
 from tremorlake.operators.clean import numeric_columns
-from tremorlake.operators.quantiles import exact_quantiles, stat_aggs, stats_from_row
+from tremorlake.operators.quantiles import clean_value, exact_quantiles, finite_value, stat_aggs, stats_from_row
 
 LABEL_CANDIDATES = ["risk_label", "vibration_level", "Vibration_Level"]
 PPV_CANDIDATES = ["ppv_mms", "PPV(mm/s)"]
@@ -40,7 +43,7 @@ def _bounds(df: DataFrame, cols: list[str], stats: dict | None = None) -> dict[s
 
 
 def _outside(c: str, lo, hi) -> Column:
-    x = F.col(c)
+    x = clean_value(c)
     if lo is None or hi is None:
         return F.lit(False)
     return F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
@@ -61,8 +64,8 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per column: IQR outliers and |z| > 3 outliers (z with sample std + 1e-10), side by side."""
     cols = numeric_columns(df) if cols is None else cols
     # one pass for mean, std and the quantile search's n / min / max
-    st = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)],
-                *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)], *stat_aggs(cols)).first()
+    st = df.agg(*[F.avg(clean_value(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+                *[F.stddev_samp(clean_value(c)).alias(f"s{i}") for i, c in enumerate(cols)], *stat_aggs(cols)).first()
     b = _bounds(df, cols, stats=stats_from_row(st, cols))
     aggs = []
     for i, c in enumerate(cols):
@@ -71,8 +74,8 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         if mean is None or std is None:
             z = F.lit(False)
         else:
-            z = F.coalesce(F.abs((F.col(c) - F.lit(mean)) / F.lit(std + K.ZSCORE_EPS)) > F.lit(K.ZSCORE_LIMIT),
-                           F.lit(False))
+            z = P.zscore_abs(clean_value(c), F.lit(mean), F.lit(std))
+            z = F.coalesce(F.when(~F.isnan(z), z > F.lit(K.ZSCORE_LIMIT)), F.lit(False))
         aggs.append(F.sum(z.cast("long")).alias(f"z{i}"))
     wide = df.agg(*aggs)
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"i{i}").alias("iqr_outliers"),
@@ -84,7 +87,7 @@ def range_checks(df: DataFrame, rules: dict | None = None) -> DataFrame:
     """Per rule whose column is present: low, high and the count of values outside [low, high]."""
     rules = K.RANGE_RULES if rules is None else rules
     present = [(c, lo, hi) for c, (lo, hi) in rules.items() if c in df.columns]
-    wide = df.agg(*[F.sum(F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)).cast("long")).alias(f"r{i}")
+    wide = df.agg(*[F.sum(F.coalesce((clean_value(c) < lo) | (clean_value(c) > hi), F.lit(False)).cast("long")).alias(f"r{i}")
                     for i, (c, lo, hi) in enumerate(present)])
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"),
                                F.col(f"r{i}").alias("out_of_range")) for i, (c, lo, hi) in enumerate(present)])
@@ -95,12 +98,10 @@ def label_distribution(df: DataFrame, label: str | None = None) -> DataFrame:
     """Per label: n, pct of rows, and the max/min class imbalance ratio (inf when a class is empty)."""
     label = label or first_present(df, LABEL_CANDIDATES)
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    all_ = Window.partitionBy()  # over the per-label counts only: one row per label
-    total = F.sum("n").over(all_)
-    ratio = F.when(F.min("n").over(all_) > 0, F.max("n").over(all_) / F.min("n").over(all_)) \
-        .otherwise(F.lit(float("inf")))
-    return counts.select("label", "n", (F.col("n") * F.lit(100.0) / total).alias("pct"),
-                         ratio.cast("double").alias("imbalance_ratio"))
+    one = counts.agg(F.sum("n").alias("_all"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    ratio = F.when(F.col("_lo") > 0, F.col("_hi") / F.col("_lo")).otherwise(F.lit(float("inf")))
+    return counts.join(F.broadcast(one)).select(  # one row of totals
+        "label", "n", (F.col("n") * F.lit(100.0) / F.col("_all")).alias("pct"), ratio.cast("double").alias("imbalance_ratio"))
 
 
 def normalized_label(c: Column) -> Column:
@@ -125,53 +126,65 @@ def ppv_by_label(df: DataFrame, label: str | None = None, ppv: str | None = None
 def leak_intervals(ranges: DataFrame) -> DataFrame:
     """Exact leakage probe: are the per-label PPV ranges disjoint intervals?
 
-    Works on the per-label table (one row per label), ordered by the minimum.
+    ``ranges`` has one row per label; a label's next range is the least one above it in (minimum, label) order.
     """
-    w = Window.orderBy("ppv_min", "label")
-    nxt = F.lead("ppv_min").over(w)
-    out = ranges.select("label", "ppv_min", "ppv_max", nxt.alias("next_min"))
-    disjoint = F.coalesce(F.col("next_min") > F.col("ppv_max"), F.lit(True))
-    out = out.withColumn("disjoint_with_next", disjoint)
-    return out.withColumn("threshold_partition", F.min(F.col("disjoint_with_next").cast("int")).over(
-        Window.partitionBy()) == 1)
+    later = ranges.select(F.col("ppv_min").alias("_min"), F.col("label").alias("_label"))
+    above = F.struct("_min", "_label") > F.struct("ppv_min", "label")
+    nxt = (ranges.join(F.broadcast(later), above, "left").groupBy("label", "ppv_min", "ppv_max")
+           .agg(F.min("_min").alias("next_min")))
+    out = nxt.withColumn("disjoint_with_next", F.coalesce(F.col("next_min") > F.col("ppv_max"), F.lit(True)))
+    whole = out.agg(F.bool_and("disjoint_with_next").alias("threshold_partition"))
+    return out.join(F.broadcast(whole))
 
 
 def corr_pairs(df: DataFrame, cols: list[str] | None = None, limit: float = 0.90) -> DataFrame:
-    """Pearson r for all column pairs i < j (pairwise-complete, like pandas); keep |r| > limit.
-
-    Long form: each row yields one (pair, x, y) entry per pair and a single
-    ``corr`` runs grouped by pair.  The grouped aggregate stays small enough
-    for whole-stage codegen (a 91-pair wide aggregate does not), and partial
-    aggregation collapses the entries to one buffer per pair per task before
-    any shuffle.  Entries carry the pair's index (an int key hashes about 3x
-    cheaper than two names); names are attached to the few result rows.
+    """Pearson r for all column pairs i < j (pairwise-complete, like pandas); keep |r| > limit (0: all of them).
+
+    Columns without missing values go through one vector per row (a Gram
+    matrix per task, no row is expanded); only pairs with a column that has
+    missing or infinite values are summed pair by pair.  A constant column has
+    no correlation and gives no row.
     """
     cols = numeric_columns(df) if cols is None else cols
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    entries = ", ".join(
-        f"named_struct('pair', {k}, 'x', CAST({sql_ident(cols[i])} AS DOUBLE), 'y', CAST({sql_ident(cols[j])} AS DOUBLE))"
-        for k, (i, j) in enumerate(pairs))
-    long = df.selectExpr(f"inline(array({entries}))")  # one SQL expression: a single plan call
-    r = long.groupBy("pair").agg(F.corr("x", "y").alias("r")).where(F.abs("r") > F.lit(limit))
-    name_a = F.array(*[F.lit(cols[i]) for i, _ in pairs])
-    name_b = F.array(*[F.lit(cols[j]) for _, j in pairs])
-    return r.select(F.element_at(name_a, F.col("pair") + 1).alias("column_a"),
-                    F.element_at(name_b, F.col("pair") + 1).alias("column_b"), "r")
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), *stat_aggs(cols)).first()
+    stats = stats_from_row(whole, cols)
+    varied = [c for c in cols if stats[c]["n"] and stats[c]["mn"] < stats[c]["mx"] and not stats[c]["ng"] + stats[c]["pg"]]
+    full = [c for c in varied if stats[c]["n"] == whole["rows"]]
+    rows: list[tuple[str, str, float]] = []
+    if len(full) > 1:
+        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(
+            df.select(*[F.col(sql_ident(c)).cast("double").alias(c) for c in full]))
+        r = Correlation.corr(vectors, "_v").first()[0].toArray()
+        rows += [(full[i], full[j], float(r[i, j])) for i in range(len(full)) for j in range(i + 1, len(full))]
+    pairs = [(a, b) for i, a in enumerate(varied) for b in varied[i + 1:] if not (a in full and b in full)]
+    if pairs:
+        got = df.agg(*[_pair_corr(a, b, stats).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
+        rows += [(a, b, got[f"p{k}"]) for k, (a, b) in enumerate(pairs) if got[f"p{k}"] is not None]
+    order = {c: i for i, c in enumerate(cols)}
+    kept = sorted((x for x in rows if abs(x[2]) > limit), key=lambda x: (order[x[0]], order[x[1]]))
+    return df.sparkSession.createDataFrame(kept, "column_a string, column_b string, r double")
+
+
+def _pair_corr(a: str, b: str, stats: dict) -> Column:
+    """r over the rows that have both values; NULL where either does not vary.  Sums are taken around a middle."""
+    x, y = finite_value(a), finite_value(b)
+    both = x.isNotNull() & y.isNotNull()
+    u = F.when(both, x - F.lit(stats[a]["mn"] / 2 + stats[a]["mx"] / 2))
+    v = F.when(both, y - F.lit(stats[b]["mn"] / 2 + stats[b]["mx"] / 2))
+    return F.when((F.min(u) < F.max(u)) & (F.min(v) < F.max(v)), F.covar_pop(u, v)
+                  / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0)))
 
 
 def sql_ident(s: str) -> str:
     return "`" + s.replace("`", "``") + "`"
 
 
-def train_test_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Distinct rows present in both sides (set intersection) and their count."""
-    both = train.intersect(test)
-    return both.agg(F.count(F.lit(1)).alias("shared_rows"))
-
-
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Per column IQR outlier counts (rows are reported, never removed)."""
-    return outlier_counts(df, cols).select("column", "iqr_outliers")
+def train_test_overlap(df: DataFrame, cols: list[str], side: str = "is_test") -> DataFrame:
+    """Number of distinct ``cols`` rows that occur on both sides: one group per row, combined map-side."""
+    seen = df.groupBy(*cols).agg(F.bool_or(F.col(side)).alias("_test"), F.bool_or(~F.col(side)).alias("_train"))
+    return seen.agg(F.count(F.when(F.col("_test") & F.col("_train"), 1)).alias("shared_rows"))
 
 
 def report(df: DataFrame, cols: list[str] | None = None, train: DataFrame | None = None,

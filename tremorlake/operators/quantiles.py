@@ -41,10 +41,10 @@ class _Target:
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, v) pairs of the given numeric columns, NULL and NaN dropped."""
+    """(column, v) pairs of the given numeric columns; NULL, NaN and infinite values dropped."""
     if not cols:
         raise ValueError("no columns")
-    wide = df.select(*[clean_value(c).alias(c) for c in cols])
+    wide = df.select(*[finite_value(c).alias(c) for c in cols])
     long = wide.unpivot([], cols, "column", "v")
     return long.where(F.col("v").isNotNull())
 
@@ -54,17 +54,28 @@ def clean_value(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
+def finite_value(c: str) -> Column:
+    """``clean_value`` with infinities turned into NULL, too."""
+    x = clean_value(c)
+    return F.when(F.abs(x) < F.lit(math.inf), x)
+
+
 def stat_aggs(cols: list[str]) -> list[Column]:
-    """Aggregates n{i}, mn{i}, mx{i} per column; callers add them to an aggregate they run anyway."""
+    """Aggregates per column: count, minimum and maximum of the finite values, counts of both infinities.
+
+    Callers add them to an aggregate they run anyway.
+    """
     aggs = []
     for i, c in enumerate(cols):
-        x = clean_value(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+        x, whole = finite_value(c), clean_value(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.count(F.when(whole == -math.inf, 1)).alias(f"ng{i}"),
+                 F.count(F.when(whole == math.inf, 1)).alias(f"pg{i}")]
     return aggs
 
 
 def stats_from_row(row, cols: list[str]) -> dict[str, dict]:
-    return {c: {"n": row[f"n{i}"], "mn": row[f"mn{i}"], "mx": row[f"mx{i}"]} for i, c in enumerate(cols)}
+    return {c: {k: row[f"{k}{i}"] for k in ("n", "mn", "mx", "ng", "pg")} for i, c in enumerate(cols)}
 
 
 def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
@@ -76,7 +87,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
                     max_window_rows: int = 20_000, stats: dict[str, dict] | None = None) -> DataFrame:
     """DataFrame(column, p, value) with numpy/pandas 'linear' quantiles of each column.
 
-    Columns with no non-NULL value give a NULL quantile.  ``stats`` (from
+    Columns with no non-NULL value give a NULL quantile.  Infinite values rank
+    first and last and are settled by their counts alone.  ``stats`` (from
     ``stats_from_row`` over ``stat_aggs``) saves the first pass when the caller
     already aggregates the table.
     """
@@ -90,18 +102,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
     for c in cols:
         s = stats.get(c)
         for p in probs:
-            if s is None or s["n"] == 0:
+            total = 0 if s is None else s["n"] + s["ng"] + s["pg"]
+            if not total:
                 wanted.append((c, p, None, None, 0.0))
                 continue
-            h = (s["n"] - 1) * p
+            h = (total - 1) * p
             ids = []
             for r in (int(math.floor(h)), int(math.ceil(h))):
                 key = (c, r)
                 if key not in by_key:
                     by_key[key] = len(targets)
-                    t = _Target(len(targets), c, r, float(s["mn"]), float(s["mx"]), 0, int(s["n"]))
-                    if t.lo == t.hi:
-                        t.value = t.lo
+                    if r < s["ng"] or r >= s["ng"] + s["n"]:
+                        value = -math.inf if r < s["ng"] else math.inf
+                        t = _Target(len(targets), c, r, value, value, 0, 0, value)
+                    else:
+                        t = _Target(len(targets), c, r - s["ng"], float(s["mn"]), float(s["mx"]), 0, int(s["n"]))
+                        if t.lo == t.hi:
+                            t.value = t.lo
                     targets.append(t)
                 ids.append(by_key[key])
             wanted.append((c, p, ids[0], ids[1], h - math.floor(h)))
@@ -118,11 +135,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
         for t in open_t:
             intervals.setdefault((t.column, t.lo, t.hi), len(intervals))
         tdf = spark.createDataFrame([(i, c, lo, hi) for (c, lo, hi), i in intervals.items()], tschema)
-        width = (F.col("hi") - F.col("lo"))
+        # halves: the width of an interval of finite doubles need not be one
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        share = (F.col("v") / 2 - F.col("lo") / 2) / width
         binned = (long.join(F.broadcast(tdf), "column")
                   .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-                  .select("tid", "v", F.least(F.floor((F.col("v") - F.col("lo")) / width * F.lit(float(bins))),
-                                              F.lit(bins - 1)).cast("int").alias("bin")))
+                  .select("tid", "v", F.least(F.floor(share * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+                          .alias("bin")))
         hist: dict[int, list] = {}
         for r in binned.groupBy("tid", "bin").agg(F.count("*").alias("n"), F.min("v").alias("mn"),
                                                   F.max("v").alias("mx")).collect():
@@ -132,6 +151,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
             seen = 0
             for b, n, mn, mx in sorted(hist.get(intervals[(t.column, t.lo, t.hi)], [])):
                 if seen + n > need:
+                    if n == t.inside and (mn, mx) == (t.lo, t.hi):
+                        raise RuntimeError(f"the interval of {t.column} does not shrink")
                     t.below += seen
                     t.lo, t.hi, t.inside = float(mn), float(mx), int(n)
                     if t.lo == t.hi:
@@ -173,10 +194,5 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
     v_hi = F.max(F.when(F.col("role") == 1, F.col("value"))).alias("v_hi")
     return (wdf.join(F.broadcast(values), "tid", "left")
             .groupBy("column", "p", "frac").agg(v_lo, v_hi)
-            .select("column", "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
-
-
-def quantile_row(df: DataFrame, cols: list[str], p: float, **kw) -> DataFrame:
-    """One row, one column per input column, holding its p-quantile (e.g. the medians)."""
-    q = exact_quantiles(df, cols, [p], **kw)
-    return q.groupBy().pivot("column", cols).agg(F.first("value"))
+            .select("column", "p", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).when(F.col("frac") == 0, F.col("v_lo"))
+                    .otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))

@@ -21,18 +21,17 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
-from tremorlake.session import spread
 
 BIN_HEX_DIGITS = 5  # 2^20 bins
 
 
 def order_key(*parts) -> Column:
-    """md5 hex of 'part1|part2|...' (all parts as text)."""
+    """md5 hex of 'part1|part2|...' (all parts as text, a NULL part as the empty text)."""
     cols = []
     for i, p in enumerate(parts):
         if i:
             cols.append(F.lit("|"))
-        cols.append(p.cast("string") if isinstance(p, Column) else F.lit(str(p)))
+        cols.append(F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)))
     return F.md5(F.concat(*cols))
 
 
@@ -53,19 +52,22 @@ def gaussian(h: Column) -> Column:
 
 
 def stratified_rank(df: DataFrame, stratum: str, key: str | list[str], seed: int = K.SEED) -> DataFrame:
-    """Add ``_rank`` (1-based rank in the stratum by md5(key|seed), then key) and ``_n`` (stratum size)."""
+    """Add ``_rank`` (1-based rank in the stratum by md5(key|seed), then key) and ``_n`` (stratum size).
+
+    NULL labels are a stratum of their own and NULL keys rank like any other: no row is lost.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     h = order_key(*[F.col(k) for k in keys], seed)
     d = df.withColumn("_h", h).withColumn("_bin", F.conv(F.substring("_h", 1, BIN_HEX_DIGITS), 16, 10).cast("int"))
-    hist = d.groupBy(stratum, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    per_stratum = Window.partitionBy(stratum)
+    hist = d.groupBy(F.col(stratum).alias("_s"), F.col("_bin").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    per_stratum = Window.partitionBy("_s")
     offsets = hist.select(
-        stratum, "_bin",
-        (F.sum("_c").over(per_stratum.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+        "_s", "_b",
+        (F.sum("_c").over(per_stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
         F.sum("_c").over(per_stratum).alias("_n"))
     local = Window.partitionBy(stratum, "_bin").orderBy("_h", *keys)
     ranked = d.withColumn("_local", F.row_number().over(local))
-    out = ranked.join(offsets, [stratum, "_bin"])
+    out = ranked.join(offsets, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
     rank = (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).alias("_rank")
     return out.select(*[F.col(c) for c in df.columns], rank, "_n")  # input column order kept
 
@@ -101,8 +103,9 @@ def group_split(df: DataFrame, group: str, stratum: str, first_round: Column, te
     When the copies are still to be made, ``split_then_augment`` needs no join.
     """
     heads = df.where(first_round).select(group, stratum)
-    decided = stratified_split(heads, stratum, group, test_fraction, seed).select(group, "is_test")
-    return df.join(decided, group, "left")
+    decided = (stratified_split(heads, stratum, group, test_fraction, seed)
+               .select(F.col(group).alias("_group"), "is_test"))
+    return df.join(decided, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def augment(df: DataFrame, key: str, factor: int = K.AUGMENT_FACTOR, seed: int = K.SEED) -> DataFrame:
@@ -115,7 +118,7 @@ def augment(df: DataFrame, key: str, factor: int = K.AUGMENT_FACTOR, seed: int =
     """
     cols = df.columns
     base = df.withColumn("aug_round", F.lit(0))
-    rep = spread(df).withColumn("aug_round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+    rep = df.withColumn("aug_round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
     # three projections (noise, clamp, relabel): Spark does not collapse projections when that would
     # duplicate an expensive expression, so each md5-based noise value is computed once per row
     noisy = {}

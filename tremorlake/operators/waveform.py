@@ -18,14 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
-from tremorlake.functions.waveform import FEATURE_NAMES, waveform_features  # noqa: F401  (re-export)
 
 
-def _zero_change(a: Column, b: Column) -> Column:
+def zero_change(a: Column, b: Column) -> Column:
     return F.when((a != 0) != (b != 0), F.lit(1)).otherwise(F.lit(0))
 
 
-def _sign_change(a: Column, b: Column) -> Column:
+def sign_change(a: Column, b: Column) -> Column:
     return F.when(F.signum(a) != F.signum(b), F.lit(1)).otherwise(F.lit(0))
 
 
@@ -50,27 +49,21 @@ def window_features(df: DataFrame, group: list[str], order: list[str], value: st
     prev = F.lag(x).over(w1)
     inner = (d.withColumn("_prev", prev)
              .groupBy(*group, "_chunk")
-             .agg(F.sum(F.when(F.col("_prev").isNotNull(), _zero_change(F.col("_prev"), x))).alias("_zc"),
-                  F.sum(F.when(F.col("_prev").isNotNull(), _sign_change(F.col("_prev"), x))).alias("_sc"),
+             .agg(F.sum(F.when(F.col("_prev").isNotNull(), zero_change(F.col("_prev"), x))).alias("_zc"),
+                  F.sum(F.when(F.col("_prev").isNotNull(), sign_change(F.col("_prev"), x))).alias("_sc"),
                   F.min_by(x, pos).alias("_first"), F.max_by(x, pos).alias("_last")))
     w2 = Window.partitionBy(*group).orderBy("_chunk")
     prev_last = F.lag("_last").over(w2)
     border = inner.withColumn("_pl", prev_last)
     cross = border.groupBy(*group).agg(
         (F.coalesce(F.sum("_zc"), F.lit(0)) + F.coalesce(
-            F.sum(F.when(F.col("_pl").isNotNull(), _zero_change(F.col("_pl"), F.col("_first")))), F.lit(0))
+            F.sum(F.when(F.col("_pl").isNotNull(), zero_change(F.col("_pl"), F.col("_first")))), F.lit(0))
          ).alias("_zcn"),
         (F.coalesce(F.sum("_sc"), F.lit(0)) + F.coalesce(
-            F.sum(F.when(F.col("_pl").isNotNull(), _sign_change(F.col("_pl"), F.col("_first")))), F.lit(0))
+            F.sum(F.when(F.col("_pl").isNotNull(), sign_change(F.col("_pl"), F.col("_first")))), F.lit(0))
          ).alias("_scn"))
     steps = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
     return (stats.join(cross, group)
             .withColumn("zero_crossing_rate", F.col("_zcn") / steps)
             .withColumn("sign_change_rate", F.col("_scn") / steps)
             .drop("_zcn", "_scn"))
-
-
-def expand_features(df: DataFrame, struct_col: str = "features") -> DataFrame:
-    """Flatten the feature struct produced by ``waveform_features`` into columns."""
-    return df.select(*[c for c in df.columns if c != struct_col],
-                     *[F.col(f"{struct_col}.{n}").alias(n) for n in FEATURE_NAMES])

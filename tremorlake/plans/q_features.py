@@ -74,14 +74,14 @@ der AS (
 
 _COMPACT_DERIVED = _COMPACT_CTE + f"""
 SELECT event_id, tilt_y_deg,
-       {", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in ["temperature_c", "tilt_x_deg", "displacement_mm"] + K.FEATURES)}
+       {", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in ["tilt_x_deg", "displacement_mm"] + K.FEATURES)}
 FROM der"""
 
 
 @register("derive_compact5", _COMPACT_DERIVED)
 def derive_compact5(spark, sf_dir):
     d = features.derive(tables.compact_packets(spark, sf_dir))
-    cols = ["event_id", "tilt_y_deg", "temperature_c", "tilt_x_deg", "displacement_mm"] + K.FEATURES
+    cols = ["event_id", "tilt_y_deg", "tilt_x_deg", "displacement_mm"] + K.FEATURES
     return finish(d.select(*cols))
 
 
@@ -141,13 +141,18 @@ def label_resolution(spark, sf_dir):
 
 
 @register("normalize_headers", """
-SELECT p_partkey, p_type,
-       translate(lower(trim(p_type, ' ' || chr(9) || chr(10) || chr(13))), ' (/²)°', '___2') AS normalized
-FROM part""")
+WITH h AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || ' (m/s²)' WHEN 1 THEN chr(9) || p_type || ' (°C) '
+                  WHEN 2 THEN upper(p_type) || '/(kg)' ELSE p_type END AS header FROM part)
+SELECT p_partkey, header,
+       translate(lower(trim(header, ' ' || chr(9) || chr(10) || chr(13))), ' (/²)°', '___2') AS normalized
+FROM h""")
 def normalize_headers(spark, sf_dir):
-    """Fallback header normaliser applied as a column function to every part type string."""
-    p = tables.table(spark, sf_dir, "part")
-    return p.select("p_partkey", "p_type", clean.normalize_name_column(F.col("p_type")).alias("normalized"))
+    """Fallback header normaliser as a column function: part types with units, blanks and symbols as headers."""
+    kind, t = F.col("p_partkey") % 4, F.col("p_type")
+    header = (F.when(kind == 0, F.concat(t, F.lit(" (m/s²)"))).when(kind == 1, F.concat(F.lit("\t"), t, F.lit(" (°C) ")))
+              .when(kind == 2, F.concat(F.upper(t), F.lit("/(kg)"))).otherwise(t))
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", header.alias("header"))
+    return p.select("p_partkey", "header", clean.normalize_name_column(F.col("header")).alias("normalized"))
 
 
 @register("canonical_rename", f"""
@@ -192,14 +197,16 @@ def validate_packets(spark, sf_dir):
 WITH {S.COMPACT}
 SELECT event_id,
        CASE WHEN node_id = 'None' THEN NULL ELSE node_id END AS node_id,
-       CASE WHEN "timestamp" = 'None' THEN NULL ELSE "timestamp" END AS "timestamp",
-       ("timestamp" IS NULL OR "timestamp" = 'None') AS timestamp_defaulted
+       coalesce(CASE WHEN "timestamp" = 'None' THEN NULL ELSE "timestamp" END, 'now') AS "timestamp"
 FROM compact""")
 def metadata_echo(spark, sf_dir):
+    """Node and time as the scorer echoes them; the time of scoring, which a missing time becomes, reads 'now'."""
     c = tables.compact_packets(spark, sf_dir)
-    return c.select("event_id", P.none_literal_to_null("node_id").alias("node_id"),
-                    P.none_literal_to_null("timestamp").alias("timestamp"),
-                    P.none_literal_to_null("timestamp").isNull().alias("timestamp_defaulted"))
+    back = clean.echo_metadata(c).select("event_id", "node_id", "timestamp")
+    scored_now = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(
+        F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))) < 86400
+    return back.withColumn("timestamp", F.when(F.coalesce(scored_now, F.lit(False)), F.lit("now"))
+                           .otherwise(F.col("timestamp")))
 
 
 @register("rule_alerts", f"""

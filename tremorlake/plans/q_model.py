@@ -13,21 +13,32 @@ from pyspark.sql import types as T
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
 from tremorlake.operators import evaluate, model, sampling
+from tremorlake.plans import train_flow as flow
+from tremorlake.plans.q_sampling import SPLIT
 from tremorlake.plans.registry import register
-from tremorlake.session import scratch_dir
+from tremorlake.session import materialize, scratch_dir
 from tremorlake.sources import tables
 
 _FITS: dict = {}
 
 
-def split_frames(spark, sf_dir):
+def split_table(spark, sf_dir):
+    """Labelled telemetry with ``is_test``."""
     t = tables.telemetry(spark, sf_dir).withColumn("risk_label", P.risk_from_ppv("ppv_mms"))
-    s = sampling.stratified_split(t, "risk_label", "event_id")
+    return sampling.stratified_split(t, "risk_label", "event_id")
+
+
+def split_frames(spark, sf_dir):
+    s = split_table(spark, sf_dir)
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
+def _session(spark) -> str:
+    return spark.sparkContext.applicationId
+
+
 def _train(spark, sf_dir):
-    key = ("train", id(spark), sf_dir)
+    key = ("train", _session(spark), sf_dir)
     if key not in _FITS:
         tr, _ = split_frames(spark, sf_dir)
         _FITS[key] = model.training_matrix(tr, keep=["event_id"])
@@ -35,28 +46,84 @@ def _train(spark, sf_dir):
 
 
 def forest(spark, sf_dir):
-    key = ("forest", id(spark), sf_dir)
+    key = ("forest", _session(spark), sf_dir)
     if key not in _FITS:
         _FITS[key] = model.fit_forest(_train(spark, sf_dir))
     return _FITS[key]
 
 
 def boosted(spark, sf_dir):
-    key = ("boosted", id(spark), sf_dir)
+    key = ("boosted", _session(spark), sf_dir)
     if key not in _FITS:
         _FITS[key] = model.fit_boosted(_train(spark, sf_dir))
     return _FITS[key]
 
 
 def _scored(spark, sf_dir, m, name):
-    _, te = split_frames(spark, sf_dir)
-    p = model.predict(m, te, name, keep=["event_id", "node_id", "risk_label"])
-    return p
+    """Scores of every packet, with the part of the split it is in."""
+    return model.predict(m, split_table(spark, sf_dir), name, keep=["event_id", "node_id", "risk_label", "is_test"])
+
+
+def _contract(scored):
+    """Per packet: is its label one of the classes, do the probabilities sum to 1, is the confidence the largest?"""
+    probs = [F.col(f"prob_{c}") for c in K.CLASSES]
+    return scored.select(
+        "event_id", "is_test", F.col("risk_level").isin(*K.CLASSES).alias("label_known"),
+        (F.abs(sum(probs[1:], probs[0]) - 1) <= 1e-3).alias("sums_to_one"),
+        (F.col("confidence") == F.greatest(*probs)).alias("confidence_is_largest"),
+        (F.col("node_id").isNotNull()).alias("node_echoed"))
+
+
+CONTRACT_SQL = f"""WITH {SPLIT}
+SELECT event_id, is_test, true AS label_known, true AS sums_to_one, true AS confidence_is_largest, true AS node_echoed
+FROM split"""
+
+
+@register("forest_contract", CONTRACT_SQL)
+def forest_contract(spark, sf_dir):
+    """The forest scores every packet within the scoring contract."""
+    return _contract(_scored(spark, sf_dir, forest(spark, sf_dir), K.FOREST_NAME))
+
+
+@register("boosted_contract", CONTRACT_SQL)
+def boosted_contract(spark, sf_dir):
+    """The boosted trees score every packet within the scoring contract."""
+    return _contract(_scored(spark, sf_dir, boosted(spark, sf_dir), K.BOOSTED_NAME))
+
+
+@register("model_save_load", f"""WITH {SPLIT}
+SELECT event_id, true AS forest_equal, true AS boosted_equal FROM split""")
+def model_save_load(spark, sf_dir):
+    """Both kinds of model give every packet the same scores after saving and loading."""
+    out = None
+    for name, m, col in ((K.FOREST_NAME, forest(spark, sf_dir), "forest_equal"),
+                         (K.BOOSTED_NAME, boosted(spark, sf_dir), "boosted_equal")):
+        path = scratch_dir(spark, "model")
+        model.save(m, path, name, {}, spark)
+        loaded, _ = model.load(spark, path)
+        cols = ["risk_level", *[f"prob_{c}" for c in K.CLASSES]]
+        a, b = (_scored(spark, sf_dir, x, name).select("event_id", F.struct(*cols).alias(s))
+                for x, s in ((m, "a"), (loaded, "b")))
+        same = a.join(b, "event_id").select("event_id", (F.col("a") == F.col("b")).alias(col))
+        out = same if out is None else out.join(same, "event_id")
+    return out
+
+
+@register("train_flow", f"""SELECT 'Random Forest' AS model, true AS has_test_metrics, true AS has_cv_metrics
+UNION ALL SELECT 'Gradient Boosting', true, true""")
+def train_flow(spark, sf_dir):
+    """Clean, split, fit both, cross-validate, compare, select, save (20 trees and 5 rounds: the flow, not the fit)."""
+    res = flow.train_and_select(spark, tables.raw_blast_table(spark, sf_dir), scratch_dir(spark, "flow"),
+                                boosted_rounds=5, trees=20)
+    unit = lambda c: F.col(c).between(0.0, 1.0)
+    return res["comparison"].select(
+        "model", (unit("accuracy") & unit("f1") & unit("critical_recall")).alias("has_test_metrics"),
+        (unit("cv_accuracy") & unit("cv_f1") & unit("cv_critical_recall")).alias("has_cv_metrics"))
 
 
 @register("forest_scores")
 def forest_scores(spark, sf_dir):
-    """Random forest (150 trees, depth 12, balanced weights) scores for every test packet."""
+    """Random forest (150 trees, depth 12, balanced weights) scores of every packet."""
     return _scored(spark, sf_dir, forest(spark, sf_dir), K.FOREST_NAME).drop("probabilities")
 
 
@@ -71,7 +138,7 @@ def test_metrics(spark, sf_dir):
     """Held-out metrics of both models side by side (accuracy, macro P/R/F1, CRITICAL recall)."""
     out = {}
     for name, m in [(K.FOREST_NAME, forest(spark, sf_dir)), (K.BOOSTED_NAME, boosted(spark, sf_dir))]:
-        p = _scored(spark, sf_dir, m, name)
+        p = _scored(spark, sf_dir, m, name).where("is_test")
         out[name] = evaluate.summary(evaluate.confusion_long(p, label="risk_label", prediction="risk_level"))
     return evaluate.compare(out)
 
@@ -80,7 +147,7 @@ def test_metrics(spark, sf_dir):
 def oof_metrics(spark, sf_dir):
     """Stratified 5-fold out-of-fold forest predictions on the training part; metrics on the pooled rows."""
     tr = _train(spark, sf_dir)
-    folds = sampling.stratified_folds(tr, "risk_label", "event_id").cache()
+    folds = materialize(sampling.stratified_folds(tr, "risk_label", "event_id"), "folds")
     pred = model.fold_predictions(folds, "fold", lambda d: model.fit_forest(d))
     s = evaluate.summary(evaluate.confusion_long(pred, label="risk_label", prediction="prediction"))
     return s.select(F.lit(K.FOREST_NAME).alias("model"), *[F.col(c).alias(f"cv_{c}") for c in s.columns])
@@ -107,15 +174,14 @@ def model_roundtrip(spark, sf_dir):
     """Compare both models, pick the safety-first winner, save it, load it back, score the test
     packets with the loaded model and write / re-read the predictions."""
     m = {K.FOREST_NAME: forest(spark, sf_dir), K.BOOSTED_NAME: boosted(spark, sf_dir)}
-    summaries = {n: evaluate.summary(evaluate.confusion_long(_scored(spark, sf_dir, mm, n), label="risk_label",
+    summaries = {n: evaluate.summary(evaluate.confusion_long(_scored(spark, sf_dir, mm, n).where("is_test"), label="risk_label",
                                                             prediction="risk_level")) for n, mm in m.items()}
     best = evaluate.select_best(evaluate.compare(summaries)).first()
     name = best["best_model"]
     path = scratch_dir(spark, "model")
     model.save(m[name], path, name, {k: best[k] for k in ["critical_recall", "f1", "accuracy"]}, spark)
     loaded, meta = model.load(spark, path)
-    _, te = split_frames(spark, sf_dir)
-    scored = model.predict(loaded, te, meta["model_name"], keep=["event_id", "node_id", "risk_label"])
+    scored = _scored(spark, sf_dir, loaded, meta["model_name"])
     out = scratch_dir(spark, "predictions")
     scored.drop("probabilities").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

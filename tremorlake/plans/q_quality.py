@@ -9,7 +9,7 @@ from tremorlake.functions import physics as P
 from tremorlake.operators import clean, features, profile, quality
 from tremorlake.plans import sql as S
 from tremorlake.plans.registry import finish, register
-from tremorlake.session import scratch_dir
+from tremorlake.session import materialize, scratch_dir
 from tremorlake.sources import store, tables
 
 NUM = ["charge_weight_kg", "burden_m", "spacing_m", "delay_ms", "temperature_c", "wind_speed_ms",
@@ -73,7 +73,7 @@ def dedup_rows(spark, sf_dir):
 WITH {MEDIANS}
 SELECT d.event_id, {", ".join(f"{r6(f'coalesce(d.{c}, med.{c})')} AS {c}" for c in NUM)} FROM d, med""")
 def impute_median(spark, sf_dir):
-    d = clean.dedup(renamed(spark, sf_dir))
+    d = materialize(clean.dedup(renamed(spark, sf_dir)), "dedup")
     out = clean.impute_median(d, clean.numeric_columns(d, exclude=["event_id"]))
     return finish(out.select("event_id", *NUM))
 
@@ -83,7 +83,7 @@ WITH {DEDUP},
 {MODES}
 SELECT event_id, {", ".join(f"coalesce({q(c)}, (SELECT v FROM mode_{c})) AS {q(c)}" for c in TXT)} FROM d""")
 def impute_mode(spark, sf_dir):
-    d = clean.dedup(renamed(spark, sf_dir))
+    d = materialize(clean.dedup(renamed(spark, sf_dir)), "dedup")
     out = clean.impute_mode(d, clean.text_columns(d))
     return out.select("event_id", *TXT)
 
@@ -162,10 +162,11 @@ def column_profile(spark, sf_dir):
 
 
 @register("domain_categories", f"""WITH {PROFILE_SQL}
-SELECT category, string_agg("column", ', ' ORDER BY "column") AS columns, count(*) AS n_columns
+SELECT category, string_agg("column", ', ' ORDER BY "column") AS columns, count(*) AS n_columns,
+       CAST(sum(missing) AS BIGINT) AS missing
 FROM profile WHERE category IS NOT NULL GROUP BY category""")
 def domain_categories(spark, sf_dir):
-    return profile.domain_categories(profile.column_profile(tables.raw_blast_table(spark, sf_dir)))
+    return profile.domain_categories(profile.column_profile(tables.raw_blast_table(spark, sf_dir), exact=False))
 
 
 RAW_NUM = [c for c, t in zip(RAW_COLS, RAW_TYPES) if t == "double"]
@@ -359,3 +360,97 @@ def csv_roundtrip(spark, sf_dir):
         parts.append(d.withColumn("part", F.lit(part)))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
     return finish(out.select("part", "event_id", *TXT, *NUM, "risk_label"))
+
+
+# --- dirty packets: NaN, infinities, NULL labels, a constant column --------
+
+DIRTY_NUM = ["ppv_mms", "seismometer_ms2", "geophone_mms", "gain"]
+
+
+@register("summary_dirty", f"""WITH {S.DIRTY}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
+    f"{r6(f'min({c})')} AS min, {r6(f'quantile_cont({c}, 0.5)')} AS median, {r6(f'max({c})')} AS max, "
+    + (f"0e0 AS skew FROM dirty" if c == "gain" else f"{r6(f'skewness({c})')} AS skew FROM dirty")
+    for c in DIRTY_NUM if c != "seismometer_ms2"))
+def summary_dirty(spark, sf_dir):
+    """describe() with NaN as missing and a constant column (skew 0)."""
+    d = tables.dirty_packets(spark, sf_dir)
+    return finish(profile.numeric_summary(d, [c for c in DIRTY_NUM if c != "seismometer_ms2"]))
+
+
+@register("quantiles_dirty", f"""WITH {S.DIRTY}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {p!r}e0 AS p, {r6(f'quantile_disc({c}, {p!r})') if c != 'seismometer_ms2' else f'quantile_disc({c}, {p!r})'}"
+    " AS value FROM dirty WHERE event_id >= 0" for c in ("ppv_mms", "gain") for p in (0.0, 1.0)) + """
+UNION ALL SELECT 'seismometer_ms2', 0e0, CAST('-inf' AS DOUBLE)
+UNION ALL SELECT 'seismometer_ms2', 1e0, CAST('inf' AS DOUBLE)""")
+def quantiles_dirty(spark, sf_dir):
+    """Smallest and largest values with NaN skipped and infinities ranked first and last."""
+    from tremorlake.operators.quantiles import exact_quantiles
+
+    d = tables.dirty_packets(spark, sf_dir)
+    return finish(exact_quantiles(d, ["ppv_mms", "gain", "seismometer_ms2"], [0.0, 1.0], max_window_rows=100))
+
+
+def _dirty_bounds(c: str) -> str:
+    return (f"b_{c} AS (SELECT quantile_cont({c}, 0.25) - 1.5e0*(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, "
+            f"quantile_cont({c}, 0.75) + 1.5e0*(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM dirty)")
+
+
+DIRTY_FINITE = [c for c in DIRTY_NUM if c != "seismometer_ms2"]
+
+
+@register("outliers_dirty", f"""WITH {S.DIRTY},
+{", ".join(_dirty_bounds(c) for c in DIRTY_FINITE)}, {_dirty_bounds("seismometer_ms2")}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM dirty, b_{c} WHERE {c} < lo OR {c} > hi) AS iqr_outliers, "
+    f"(SELECT count(*) FROM dirty, (SELECT avg({c}) AS mu, stddev_samp({c}) AS sd FROM dirty) "
+    f"WHERE abs(({c} - mu)/(sd + 1e-10)) > 3e0) AS zscore_outliers" for c in DIRTY_FINITE) + """
+UNION ALL
+SELECT 'seismometer_ms2', (SELECT count(*) FROM dirty, b_seismometer_ms2 WHERE seismometer_ms2 < lo OR seismometer_ms2 > hi),
+       0""")
+def outliers_dirty(spark, sf_dir):
+    """Outliers with NaN never flagged and infinities outside the IQR fences (their z-scores are undefined)."""
+    return quality.outlier_counts(tables.dirty_packets(spark, sf_dir), DIRTY_NUM)
+
+
+@register("corr_dirty", f"""WITH {S.DIRTY},
+f AS (SELECT ppv_mms, finite_seismometer AS seismometer_ms2, geophone_mms, temperature_c FROM dirty),
+pairs AS (SELECT 'ppv_mms' AS column_a, 'geophone_mms' AS column_b, corr(ppv_mms, geophone_mms) AS r FROM f
+UNION ALL SELECT 'ppv_mms', 'temperature_c', corr(ppv_mms, temperature_c) FROM f
+UNION ALL SELECT 'geophone_mms', 'temperature_c', corr(geophone_mms, temperature_c) FROM f)
+SELECT column_a, column_b, {r6('r')} AS r FROM pairs""")
+def corr_dirty(spark, sf_dir):
+    """All pairs with NaN rows skipped pairwise; the constant column and the one with infinities have none."""
+    cols = ["ppv_mms", "seismometer_ms2", "geophone_mms", "temperature_c", "gain"]
+    return finish(quality.corr_pairs(tables.dirty_packets(spark, sf_dir), cols, limit=-1.0))
+
+
+@register("ranges_dirty", f"""WITH {S.DIRTY}
+SELECT 'ppv_mms' AS "column", 0e0 AS low, 1e0 AS high, count(*) FILTER (WHERE ppv_mms > 1e0) AS out_of_range FROM dirty""")
+def ranges_dirty(spark, sf_dir):
+    return finish(quality.range_checks(tables.dirty_packets(spark, sf_dir), {"ppv_mms": (0.0, 1.0)}))
+
+
+@register("csv_mixed_headers", f"""WITH {S.TELEMETRY}
+SELECT event_id, node_id, CASE WHEN event_id % 29 <> 0 THEN {r6('ppv_mms')} END AS ppv_mms FROM telemetry
+WHERE event_id IS NOT NULL""")
+def csv_mixed_headers(spark, sf_dir):
+    """CSV files of one folder with different column orders and extension cases, read by column name."""
+    from tremorlake.sources import files
+
+    t = tables.telemetry(spark, sf_dir)
+    t = t.withColumn("ppv_mms", F.when(F.col("event_id") % 29 == 0, F.lit("NaN")).otherwise(F.col("ppv_mms").cast("string")))
+    base = scratch_dir(spark, "mixed")
+    files.export(t.where("event_id % 2 = 0").select("event_id", "node_id", "ppv_mms"), f"{base}/a", "csv")
+    files.export(t.where("event_id % 2 = 1").select("ppv_mms", "event_id", "node_id"), f"{base}/b", "csv")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{base}/all"))
+    for part, ext in (("a", "csv"), ("b", "CSV")):
+        for i, f in enumerate(files.find_data_files(spark, f"{base}/{part}")):
+            fs.rename(path(f), path(f"{base}/all/{part}{i}.{ext}"))
+    return finish(files.read_tables(spark, f"{base}/all").select(
+        F.col("event_id").cast("long").alias("event_id"), "node_id", "ppv_mms"))

@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
+from tremorlake.functions.waveform import FEATURE_NAMES
 from tremorlake.plans import sql as S
 from tremorlake.plans.q_features import _COMPACT_CTE
+from tremorlake.plans.q_waveform import _metrics
 from tremorlake.plans.registry import finish, register
 from tremorlake.session import scratch_dir
 from tremorlake.sources import tables
@@ -16,9 +18,7 @@ from tremorlake.streaming import packets
 
 
 def _compact_with_time(spark, sf_dir):
-    c = tables.compact_packets(spark, sf_dir)
-    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return c.join(e, "event_id").select(*[f.name for f in packets.COMPACT_SCHEMA.fields])
+    return tables.compact_packets(spark, sf_dir).select(*[f.name for f in packets.COMPACT_SCHEMA.fields])
 
 
 def _raw9_with_time(spark, sf_dir):
@@ -26,7 +26,11 @@ def _raw9_with_time(spark, sf_dir):
     return t.select(*[f.name for f in packets.RAW9_SCHEMA.fields])
 
 
-@register("stream_scores")
+@register("stream_scores", f"""WITH {S.COMPACT},
+v AS (SELECT event_id, vibration IS NOT NULL AND tilt IS NOT NULL AND temperature IS NOT NULL AND moisture IS NOT NULL
+        AND displacement IS NOT NULL AS ok, CASE WHEN node_id = 'None' THEN NULL ELSE node_id END AS node_id FROM compact)
+SELECT CASE WHEN ok THEN 'scores' ELSE 'quarantine' END AS sink, event_id, CASE WHEN ok THEN node_id END AS node_id,
+       ok AS in_domain, ok AS alert_follows FROM v""")
 def stream_scores(spark, sf_dir):
     """ST1-ST4: compact packets stream -> valid/quarantine -> features -> forest score -> CRITICAL alerts."""
     from tremorlake.plans.q_model import forest
@@ -37,12 +41,13 @@ def stream_scores(spark, sf_dir):
     q = packets.score_stream(packets.read_packets(spark, src, packets.COMPACT_SCHEMA, files_per_trigger=2),
                              fitted, K.FOREST_NAME, f"{base}/out", f"{base}/ckpt")
     packets.run(q)
-    parts = []
-    for sink in ["scores", "alerts", "quarantine"]:
-        d = spark.read.parquet(f"{base}/out/{sink}")
-        risk = F.col("risk_level") if "risk_level" in d.columns else F.lit(None).cast("string")
-        parts.append(d.select(F.lit(sink).alias("sink"), "event_id", risk.alias("risk_level")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scores, alerts, held = (spark.read.parquet(f"{base}/out/{s}") for s in ("scores", "alerts", "quarantine"))
+    raised = scores.join(alerts.select("event_id", F.lit(True).alias("alert")), "event_id", "left").select(
+        F.lit("scores").alias("sink"), "event_id", "node_id", F.col("risk_level").isin(*K.CLASSES).alias("in_domain"),
+        (F.col("alert").isNotNull() == (F.col("risk_level") == K.CRITICAL)).alias("alert_follows"))
+    return raised.unionByName(held.select(
+        F.lit("quarantine").alias("sink"), "event_id", F.lit(None).cast("string").alias("node_id"),
+        F.lit(False).alias("in_domain"), F.lit(False).alias("alert_follows")))
 
 
 @register("stream_rule_alerts", _COMPACT_CTE + """
@@ -58,9 +63,16 @@ def stream_rule_alerts(spark, sf_dir):
     return finish(spark.read.parquet(f"{base}/out").select("event_id", "vibration_magnitude_ms2"))
 
 
-@register("stream_windows")
+@register("stream_windows", f"""WITH {S.TELEMETRY},
+s AS (SELECT node_id, time_bucket(INTERVAL '1 hour', ts) AS ws, ts, event_id,
+             floor((ppv_mms - 2e0)*10e0)/10e0 AS x FROM telemetry),
+lagged AS (SELECT *, lag(x) OVER (PARTITION BY node_id, ws ORDER BY ts, event_id) AS px FROM s)
+SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, node_id, count(*) AS n, {_metrics('node_id')}
+FROM lagged GROUP BY node_id, ws
+HAVING ws + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM telemetry)""")
 def stream_windows(spark, sf_dir):
-    """ST6: hourly per-node waveform features of the PPV deviation signal, finalised windows only."""
+    """ST6: hourly per-node waveform features of the PPV deviation signal: the windows that the watermark
+    (latest time less ten minutes) has closed."""
     base = scratch_dir(spark, "stream-windows")
     t = _raw9_with_time(spark, sf_dir)
     src = packets.write_packet_files(t, f"{base}/in")
@@ -68,7 +80,9 @@ def stream_windows(spark, sf_dir):
         .withColumn("x", F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)) / F.lit(10.0))
     q = packets.window_stream(stream, "x", f"{base}/out", f"{base}/ckpt")
     packets.run(q)
-    return finish(spark.read.parquet(f"{base}/out"))
+    out = spark.read.parquet(f"{base}/out")
+    return finish(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "node_id", "n",
+                             *FEATURE_NAMES))
 
 
 @register("stream_dedup", f"""WITH {S.TELEMETRY}

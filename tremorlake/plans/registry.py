@@ -30,6 +30,8 @@ def register(name: str, sql: str | None = None):
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns for engine-independent comparison (and turn -0.0 into 0.0)."""
+    if len(set(df.columns)) < len(df.columns):
+        raise ValueError(f"duplicate columns: {sorted(c for c in df.columns if df.columns.count(c) > 1)}")
     out = []
     for f in df.schema.fields:
         c = df[f.name]

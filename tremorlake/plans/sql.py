@@ -34,7 +34,8 @@ COMPACT = """compact AS (
   SELECT event_id,
          CASE WHEN event_id % 59 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'None'
               ELSE concat('NODE_', cast(user_id AS VARCHAR)) END AS node_id,
-         strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp",
+         CASE WHEN event_id % 67 = 0 THEN NULL WHEN event_id % 73 = 0 THEN 'None'
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS "timestamp",
          value/100e0 AS vibration,
          CASE WHEN event_id % 47 = 0 THEN NULL ELSE cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) END AS tilt,
          20e0 + (event_id % 30)*0.5e0 AS temperature,
@@ -84,3 +85,16 @@ WAVES = """raw_samples AS (
   SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS e FROM embeddings),
 samples AS (
   SELECT vec_id, label, i, round(cast(e AS DOUBLE), 1) AS x FROM raw_samples)"""
+
+# the dirty packets as the reports see them: NaN is missing; infinities in their own columns
+DIRTY = TELEMETRY + """,
+dirty AS (
+  SELECT event_id, CASE WHEN event_id % 37 <> 0 THEN event_id END AS packet,
+         CASE WHEN event_id % 19 = 0 THEN NULL WHEN ppv_mms < 2e0 THEN 'NORMAL' WHEN ppv_mms < 4e0 THEN 'WARNING'
+              ELSE 'CRITICAL' END AS risk_label,
+         CASE WHEN event_id % 29 <> 0 THEN ppv_mms END AS ppv_mms,
+         CASE WHEN event_id % 211 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 223 = 0 THEN CAST('-inf' AS DOUBLE)
+              ELSE seismometer_ms2 END AS seismometer_ms2,
+         CASE WHEN event_id % 211 <> 0 AND event_id % 223 <> 0 THEN seismometer_ms2 END AS finite_seismometer,
+         geophone_mms, temperature_c, 1e0 AS gain
+  FROM telemetry)"""

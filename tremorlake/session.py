@@ -1,36 +1,35 @@
-"""Spark session and checkpoint-directory helpers."""
+"""Spark session, shared scratch folder and written intermediates."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(master: str | None = None, app: str = "tremorlake", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, app: str = "tremorlake", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """Session with AQE, UTC time zone, Arrow and no UI.
 
-    On a cluster ``master`` stays None so the launcher decides; the shuffle
-    partition count is then a starting point that AQE coalesces at runtime.
+    On a cluster ``master`` stays None so the launcher decides; the number of
+    shuffle partitions and all memory settings are left to the cluster unless
+    the caller names them.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = {
         "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
     }
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -41,49 +40,36 @@ def build_session(master: str | None = None, app: str = "tremorlake", shuffle_pa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder the cluster names; make one only if unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one process, gets a
+    temporary folder of its own if the setting is missing.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tremorlake-ckpt-")  # local tests only
-    if configured.startswith("/") and not os.path.exists(configured):
-        os.makedirs(configured, exist_ok=True)
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tremorlake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    import uuid
-
-    return base.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
-
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
 
-def spread(df):
-    """Round-robin a frame over the cluster's cores when it has fewer partitions than cores.
 
-    Used before row-expanding or CPU-heavy steps.  On a large input (more
-    partitions than cores) it is a no-op, so it adds no shuffle at scale.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor recomputes from the written files, not
     from the raw scan) and keeps column pruning on the re-read, unlike an RDD
     checkpoint.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    spread(df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,8 +1,9 @@
-"""File sources and sinks: discovery by extension, typed reads, processed-table export."""
+"""File sources and sinks: discovery by extension, typed reads by column name, processed-table export."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # extension -> (reader format, options)
@@ -14,11 +15,20 @@ FORMATS = {
 }
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns is a missing value: NULL."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(df.schema[c].dataType)) for c in floating})
+
+
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def find_data_files(spark: SparkSession, folder: str) -> list[str]:
-    """Tabular files directly in ``folder`` (not recursive), ordered by extension then name."""
-    sc = spark.sparkContext
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    """Tabular files directly in ``folder`` (not recursive), by extension in any case, ordered by extension then name."""
+    jpath, fs = _file_system(spark, folder)
     if not fs.exists(jpath):
         return []
     names = [st.getPath().toString() for st in fs.listStatus(jpath) if st.isFile()]
@@ -28,27 +38,57 @@ def find_data_files(spark: SparkSession, folder: str) -> list[str]:
     return out
 
 
-def read_table(spark: SparkSession, folder: str, ext: str, schema: T.StructType | None = None) -> DataFrame:
-    """All ``*.ext`` files of a folder as one DataFrame; explicit schema when given, else inferred."""
-    fmt, opts = FORMATS[ext]
-    r = spark.read.format(fmt).options(**opts).option("pathGlobFilter", f"*.{ext}")
-    if schema is not None:
-        r = r.schema(schema)
-    elif fmt == "csv":
-        r = r.option("inferSchema", "true")
-    return r.load(folder)
+def _header(spark: SparkSession, path: str, encoding: str) -> str:
+    """First line of a file."""
+    jvm = spark.sparkContext._jvm
+    jpath, fs = _file_system(spark, path)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(jpath), encoding))
+    try:
+        return lines.readLine() or ""
+    finally:
+        lines.close()
 
 
-def read_tables(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """Every tabular file of the folder, each read with its own format, unioned by column name."""
-    exts = sorted({f.rsplit(".", 1)[-1].lower() for f in find_data_files(spark, folder)})
+def _read_csv(spark: SparkSession, paths: list[str], opts: dict, schema: T.StructType | None,
+              encoding: str) -> DataFrame:
+    """CSV files by column name: files with the same header are one read, the reads are united by name."""
+    groups: dict[str, list[str]] = {}
+    for p in paths:
+        groups.setdefault(_header(spark, p, encoding), []).append(p)
     out = None
-    for ext in exts:
-        d = read_table(spark, folder, ext, schema if FORMATS[ext][0] == "csv" else None)
+    for own in groups.values():
+        reader = spark.read.options(**opts, encoding=encoding)
+        d = reader.option("inferSchema", str(schema is None).lower()).csv(own)
+        if schema is not None:
+            # the same files again with the wanted types, in the order of their header
+            typed = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in d.columns])
+            d = reader.schema(typed).csv(own)
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 
 
+def read_files(spark: SparkSession, paths: list[str], ext: str, schema: T.StructType | None = None,
+               encoding: str = "UTF-8") -> DataFrame:
+    """The listed files of one kind as one DataFrame; CSV with an explicit schema by name when given, else inferred."""
+    fmt, opts = FORMATS[ext]
+    if fmt == "csv":
+        return nan_to_null(_read_csv(spark, paths, opts, schema, encoding))
+    return nan_to_null(spark.read.format(fmt).options(**opts).load(paths))
+
+
+def read_tables(spark: SparkSession, folder: str, schema: T.StructType | None = None,
+                encoding: str = "UTF-8") -> DataFrame | None:
+    """Every tabular file of the folder, each read with its own format, united by column name."""
+    found = find_data_files(spark, folder)
+    out = None
+    for ext in FORMATS:
+        own = [f for f in found if f.lower().endswith("." + ext)]
+        if own:
+            d = read_files(spark, own, ext, schema, encoding)
+            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
 def export(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Overwrite-write a processed table (parquet by default, CSV with a header row)."""
     w = df.write.mode("overwrite")

@@ -6,6 +6,8 @@ date predicate prunes partitions and pushes filters into the scan.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,22 +45,27 @@ def coerce(df: DataFrame) -> DataFrame:
 def write_observations(df: DataFrame, path: str) -> int:
     """Full replace of the store with ``df`` (typed), returning the number of rows written.
 
-    Adds a surrogate ``id`` (unique; stable under task retry because it is
-    derived from partition index and row position of a deterministic input),
-    ``created_at`` and the ``obs_date`` partition column.  The row count comes
-    from an observed metric of the same write job, not from a second scan.
+    Adds a surrogate ``id`` (unique within the written version), ``created_at``
+    and the ``obs_date`` partition column.  Rows are dealt by date before the
+    write, so a date has few files; Spark splits a large date (or the rows
+    without one) among tasks.  A version is written whole into a folder of its
+    own and becomes the store by one small file that names it, so readers see
+    the old or the new store.  The row count comes from the write job itself.
     """
     from pyspark.sql import Observation
 
-    typed = coerce(df).withColumn("id", F.monotonically_increasing_id()) \
-        .withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")) \
-        .withColumn("obs_date", F.to_date("timestamp"))
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex[:12]}"
+    typed = coerce(df).withColumn("obs_date", F.to_date("timestamp")).hint("rebalance", "obs_date") \
+        .withColumn("id", F.monotonically_increasing_id()) \
+        .withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
     obs = Observation("store_write")
     typed = typed.observe(obs, F.count(F.lit(1)).alias("rows"))
-    typed.write.mode("overwrite").partitionBy("obs_date").parquet(path)
+    typed.write.partitionBy("obs_date").parquet(f"{path}/{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
     return int(obs.get["rows"])
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Full scan of the store (``SELECT *``); add filters and Spark prunes partitions."""
-    return spark.read.parquet(path)
+    """Full scan of the store's current version (``SELECT *``); add filters and Spark prunes partitions."""
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")

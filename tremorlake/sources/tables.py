@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.session import spread
+from tremorlake.sources.files import nan_to_null
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -20,9 +20,8 @@ SOIL_TYPES = ["Clay", "Gravel", "Rock", "Sand"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  Small inputs (fewer partitions than cores, e.g. one parquet row group) are
-    spread over the cores; a large input is read as is."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table; NaN counts as missing."""
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _props_number(props: Column) -> Column:
@@ -53,8 +52,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact-5 packets: vibration, tilt, temperature, moisture, displacement + node/time.
 
-    Dirt: node_id NULL every 59th id and the text 'None' every 31st; tilt NULL every
-    47th; moisture NULL every 43rd.
+    Dirt: node_id NULL every 59th id and the text 'None' every 31st; timestamp NULL every
+    67th and 'None' every 73rd; tilt NULL every 47th; moisture NULL every 43rd.
     """
     e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
@@ -64,7 +63,9 @@ def compact_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id",
         node.alias("node_id"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(eid % 67 == 0, F.lit(None).cast("string")).when(eid % 73 == 0, F.lit("None"))
+         .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"),
         (F.col("value") / F.lit(100.0)).alias("vibration"),
         F.when(eid % 47 == 0, F.lit(None).cast("double")).otherwise(_props_number(F.col("props"))).alias("tilt"),
         (F.lit(20.0) + (eid % 30) * F.lit(0.5)).alias("temperature"),
@@ -135,3 +136,22 @@ def waveform_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveform_buffers(spark, sf_dir).select(
         "vec_id", "label", F.posexplode("samples").alias("pos", "x")
     ).select("vec_id", "label", (F.col("pos") + 1).alias("i"), "x")
+
+
+def dirty_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw-9 telemetry with what real sensor files hold: NaN, both infinities, NULL keys and labels, a constant column.
+
+    Built after the scan's conversion, so the reports meet NaN itself: PPV is NaN every 29th id,
+    the seismometer +Infinity every 211th and -Infinity every 223rd, the packet key NULL every
+    37th, the label NULL every 19th; ``gain`` is always 1.
+    """
+    t = telemetry(spark, sf_dir)
+    eid = F.col("event_id")
+    label = (F.when(eid % 19 == 0, F.lit(None).cast("string")).when(F.col("ppv_mms") < 2.0, F.lit("NORMAL"))
+             .when(F.col("ppv_mms") < 4.0, F.lit("WARNING")).otherwise(F.lit("CRITICAL")))
+    return t.select(
+        "event_id", F.when(eid % 37 != 0, eid).alias("packet"), label.alias("risk_label"),
+        F.when(eid % 29 == 0, F.lit(float("nan"))).otherwise(F.col("ppv_mms")).alias("ppv_mms"),
+        F.when(eid % 211 == 0, F.lit(float("inf"))).when(eid % 223 == 0, F.lit(float("-inf")))
+         .otherwise(F.col("seismometer_ms2")).alias("seismometer_ms2"),
+        "geophone_mms", "temperature_c", F.lit(1.0).alias("gain"))

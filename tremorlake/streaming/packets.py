@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorlake import constants as K
-from tremorlake.functions.waveform import FEATURE_NAMES, waveform_features
+from tremorlake.functions.waveform import FEATURE_NAMES
 from tremorlake.operators import clean, features, model
+from tremorlake.operators.waveform import sign_change, zero_change
 
 COMPACT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("node_id", T.StringType()),
     T.StructField("ts", T.TimestampType()),
+    T.StructField("timestamp", T.StringType()),
     T.StructField("vibration", T.DoubleType()),
     T.StructField("tilt", T.DoubleType()),
     T.StructField("temperature", T.DoubleType()),
@@ -34,9 +36,9 @@ RAW9_SCHEMA = T.StructType([
 ] + [T.StructField(c, T.DoubleType()) for c in K.RAW_CHANNELS])
 
 
-def write_packet_files(df: DataFrame, path: str, n_files: int = 4, key: str = "event_id") -> str:
-    """Land packets as ``n_files`` parquet files (a stand-in for an arriving packet folder)."""
-    df.repartition(n_files, key).write.mode("overwrite").parquet(path)
+def write_packet_files(df: DataFrame, path: str) -> str:
+    """Land packets as parquet files, as many as the frame has partitions (a stand-in for an arriving packet folder)."""
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -54,13 +56,12 @@ def score_stream(stream: DataFrame, fitted, model_name: str, out_dir: str, check
     def sink(batch: DataFrame, batch_id: int) -> None:
         checked = clean.validate_compact(batch)
         checked.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
-        valid = checked.where(F.col("is_valid"))
-        scored = model.predict(fitted, valid, model_name, keep=["event_id", "node_id", "ts"])
-        scored = scored.withColumn("node_id", F.when(F.col("node_id") == "None", None).otherwise(F.col("node_id")))
-        scored = scored.drop("probabilities")
-        scored.write.mode("overwrite").parquet(f"{out_dir}/scores/batch={batch_id}")
-        scored.where(F.col("risk_level") == K.CRITICAL).write.mode("overwrite") \
-            .parquet(f"{out_dir}/alerts/batch={batch_id}")
+        scores = f"{out_dir}/scores/batch={batch_id}"
+        model.score(fitted, checked.where("is_valid"), model_name, keep=["event_id", "ts"]) \
+            .drop("probabilities").write.mode("overwrite").parquet(scores)
+        # alerts are taken from the written scores: a packet is scored once
+        batch.sparkSession.read.parquet(scores).where(F.col("risk_level") == K.CRITICAL) \
+            .write.mode("overwrite").parquet(f"{out_dir}/alerts/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -76,19 +77,47 @@ def rule_alert_stream(stream: DataFrame, out_dir: str, checkpoint: str,
 
 
 def window_stream(stream: DataFrame, value: str, out_dir: str, checkpoint: str, window: str = "1 hour",
-                  delay: str = "10 minutes"):
+                  delay: str = "10 minutes", chunk: str = "10 seconds"):
     """ST6: tumbling-window waveform features per node, finalised windows appended.
 
-    Samples of one (node, window) are ordered by (ts, event_id) inside the
-    window's state; the state is bounded by the window length, and the
-    watermark drops it once the window is emitted.
+    Two aggregations: samples are summed up per short ``chunk`` (counts, sums,
+    extremes, crossings inside it, its first and last sample), and the chunks
+    per window; a window's state is one summary per chunk however many samples
+    a node sends.  Samples are ordered by (ts, event_id).
     """
-    keyed = stream.withWatermark("ts", delay)
-    agg = keyed.groupBy(F.window("ts", window).alias("w"), "node_id").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col(value).alias("x")))).alias("s"))
-    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "node_id",
-                     F.size("s").alias("n"), waveform_features(F.col("s.x")).alias("f"))
-    out = out.select("window_start", "window_end", "node_id", "n", *[F.col(f"f.{n}").alias(n) for n in FEATURE_NAMES])
+    x, at = F.col(value), F.struct("ts", "event_id")
+    chunks = (stream.withWatermark("ts", delay).groupBy(F.window("ts", chunk).alias("c"), "node_id").agg(
+        F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+        F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("ts", "event_id", x.alias("x"))))).alias("v")))
+    # inside the bounded chunk: neighbours of its samples; only the summary goes on
+    prior, later = F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1)
+    crossings = lambda differ: F.when(F.size("v") > 1, F.aggregate(
+        F.zip_with(prior, later, lambda a, b: differ(a["x"], b["x"])), F.lit(0), lambda acc, d: acc + d)).otherwise(0)
+    summary = chunks.select(
+        "c", "node_id", F.struct(
+            F.col("c.start").alias("at"), "n", "s", "q", "lo", "hi", crossings(zero_change).alias("zc"),
+            crossings(sign_change).alias("sc"), F.try_element_at("v", F.lit(1))["x"].alias("first"),
+            F.try_element_at("v", F.lit(-1))["x"].alias("last")).alias("p"))
+    windows = summary.groupBy(F.window(F.window_time("c"), window).alias("w"), "node_id").agg(
+        F.sort_array(F.collect_list("p")).alias("p"))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p[f])
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    before, after = F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1)
+    border = lambda differ: F.when(F.size("p") > 1, F.aggregate(
+        F.zip_with(before, after, lambda a, b: differ(a["last"], b["first"])), F.lit(0),
+        lambda acc, d: acc + d)).otherwise(0)
+    base = windows.filter(F.size("p") > 0).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "node_id", n.alias("n"),
+        total("s").alias("s"), total("q").alias("q"), F.array_min("p.lo").alias("min"), F.array_max("p.hi").alias("max"),
+        (total("zc") + border(zero_change)).alias("zc"), (total("sc") + border(sign_change)).alias("sc"))
+    mean, rms = F.col("s") / F.col("n"), F.sqrt(F.col("q") / F.col("n"))
+    peak, steps = F.greatest(F.abs("min"), F.abs("max")), F.greatest(F.col("n") - 1, F.lit(1))
+    features_of = {
+        "mean": mean, "std": F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), "min": F.col("min"),
+        "max": F.col("max"), "peak_amplitude": peak, "peak_to_peak": F.col("max") - F.col("min"), "rms": rms,
+        "signal_energy": F.col("q"), "crest_factor": peak / (rms + F.lit(K.CREST_EPS)),
+        "zero_crossing_rate": F.col("zc") / steps, "sign_change_rate": F.col("sc") / steps}
+    out = base.select("window_start", "window_end", "node_id", "n", *[features_of[f].alias(f) for f in FEATURE_NAMES])
     return (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
