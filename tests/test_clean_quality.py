@@ -143,30 +143,82 @@ def test_reports_and_metadata_echo(spark):
     assert rows[1]["timestamp"] == "2026-01-01T00:00:00" and rows[2]["node_id"] is None
 
 
-def test_exact_mean_is_correctly_rounded(spark):
-    import math
-
-    rng = np.random.default_rng(11)
-    vals = np.round(rng.uniform(-50, 50, 5000), 2).tolist() + [0.07] * 3001 + [-1234.5678, 1e-9]
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
-    got = df.agg(profile.exact_mean(F.col("x")).alias("m")).first()["m"]
-    assert got == math.fsum(vals) / len(vals)
-    assert df.agg(profile.exact_sum(F.col("x"))).first()[0] == math.fsum(vals)
-    big = spark.createDataFrame([(1e15,), (1.0,)], "x double")
-    assert big.agg(profile.exact_mean(F.col("x"))).first()[0] == pytest.approx((1e15 + 1) / 2)
-
-
 def test_profile_distinct_counts_match_count_distinct(spark):
-    """Long-form distinct counts equal Spark's count_distinct: -0.0 = 0.0, NaN = NaN, NULL skipped,
-    float and timestamp columns, and an array column (counted by the count_distinct fallback)."""
+    """Distinct counts: -0.0 = 0.0, NaN and NULL missing, float, timestamp and array columns."""
     df = spark.createDataFrame(
         [(0.0, 1.5, "a", [1, 2]), (-0.0, 1.5, "a", [1, 2]), (float("nan"), None, None, [2, 1]),
          (float("nan"), 2.5, "b", None), (None, -0.0, "", [1]), (3.0, 0.0, "a", [1])],
         "d double, f float, s string, arr array<int>").withColumn("t", F.current_timestamp())
     got = {r["column"]: r["uniques"] for r in profile.column_profile(df).collect()}
-    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    want = df.agg(*[F.count_distinct(F.nanvl(c, F.lit(None)) if c in "df" else F.col(c)).alias(c)
+                    for c in df.columns]).first().asDict()
     assert got == want
-    assert got["d"] == 3 and got["f"] == 3 and got["s"] == 3 and got["arr"] == 3
+    assert got["d"] == 2 and got["f"] == 3 and got["s"] == 3 and got["arr"] == 3
+    missing = {r["column"]: r["missing"] for r in profile.column_profile(df).collect()}
+    assert missing == {"d": 3, "f": 1, "s": 1, "arr": 1, "t": 0}
+    about = {r["column"]: r["missing"] for r in profile.column_profile(df, exact=False).collect()}
+    assert about == missing
+
+
+def test_quantiles_of_infinite_and_huge_values_end(spark):
+    """Infinities rank first and last; intervals wider than the largest double still shrink."""
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=400).tolist() + [float("inf")] * 7 + [float("-inf")] * 3 + [1.7e308, -1.7e308, float("nan")]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.004, 0.25, 0.5, 1.0], bins=4,
+                                                       max_window_rows=10).collect()}
+    keep = np.sort([v for v in vals if v == v])
+    assert got[0.0] == -np.inf and got[1.0] == np.inf and got[0.004] == -np.inf
+    for p in (0.25, 0.5):
+        assert got[p] == pytest.approx(np.quantile(keep, p))
+
+
+def test_reports_skip_nan_and_constant_columns(spark):
+    rows = [(float(i % 10), float("nan") if i == 3 else float(i % 10) * 2, 1.0) for i in range(100)] + [(500.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, k double")
+    out = {r["column"]: r for r in quality.outlier_counts(df).collect()}
+    assert out["a"]["iqr_outliers"] == 1 and out["b"]["iqr_outliers"] == 0 and out["b"]["zscore_outliers"] == 0
+    pairs = {(r["column_a"], r["column_b"]): r["r"] for r in quality.corr_pairs(df, limit=-1.0).collect()}
+    pdf = pd.DataFrame(rows, columns=["a", "b", "k"])
+    assert set(pairs) == {("a", "b")} and pairs[("a", "b")] == pytest.approx(pdf["a"].corr(pdf["b"]))
+    s = {r["column"]: r for r in profile.numeric_summary(df).collect()}
+    assert s["k"]["skew"] == 0 and s["b"]["n"] == 100 and s["b"]["skew"] == pytest.approx(pdf["b"].skew())
+    filled = clean.impute_median(df).collect()
+    assert filled[3]["b"] == pytest.approx(pdf["b"].median())
+    from tremorlake.operators.model import standardize
+
+    assert {r["k"] for r in standardize(df, ["a", "k"]).collect()} == {0.0}
+
+
+def test_csv_files_are_read_by_name(spark, tmp_path):
+    from tremorlake.sources import files
+
+    (tmp_path / "one.csv").write_text("a,b\n1,2.5\n2,NaN\n")
+    (tmp_path / "two.CSV").write_text("b,a\n7.5,3\n")
+    (tmp_path / "three.csv").write_bytes("a,temp(°C)\n4,20\n".encode("latin-1"))
+    df = files.read_tables(spark, str(tmp_path), encoding="ISO-8859-1")
+    got = {r["a"]: (r["b"], r["temp(°C)"]) for r in df.collect()}
+    assert got == {1: (2.5, None), 2: (None, None), 3: (7.5, None), 4: (None, 20)}
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    typed = files.read_tables(spark, str(tmp_path), schema, encoding="ISO-8859-1")
+    assert {r["a"]: r["b"] for r in typed.collect()} == {1: "2.5", 2: "NaN", 3: "7.5", 4: None}
+
+
+def test_store_replaces_as_a_whole(spark, tmp_path):
+    from tremorlake.sources import store
+
+    path = str(tmp_path / "store")
+    rows = [(f"2026-01-0{1 + i % 3}T00:00:00", float(i)) for i in range(60)] + [("bad", 1.0)]
+    df = spark.createDataFrame(rows, "timestamp string, ppv_mms double").repartition(8)
+    assert store.write_observations(df, path) == 61 and store.write_observations(df.limit(10), path) == 10
+    back = store.read_observations(spark, path)
+    assert back.count() == 10 and back.select("id").distinct().count() == 10
+    import glob
+
+    first = max((d for d in glob.glob(f"{path}/v-*")), key=lambda d: len(glob.glob(f"{d}/*/*.parquet")))
+    assert all(len(glob.glob(f"{d}/*.parquet")) <= 2 for d in glob.glob(f"{first}/obs_date=*"))
 
 
 def test_quantile_seeds_from_report_aggregates(spark):

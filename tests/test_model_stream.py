@@ -124,8 +124,40 @@ def test_train_flow_smoke(spark):
     from tremorlake.sources import tables
 
     out = scratch_dir(spark, "test-flow")
-    res = train_and_select(spark, tables.raw_blast_table(spark, SF001), out, with_cv=False, boosted_rounds=3)
+    res = train_and_select(spark, tables.raw_blast_table(spark, SF001), out, boosted_rounds=2, trees=8)
     assert res["best_model"] in (K.FOREST_NAME, K.BOOSTED_NAME)
-    assert res["comparison"].count() == 2
+    rows = res["comparison"].collect()
+    assert len(rows) == 2 and all(0 <= r[c] <= 1 for r in rows for c in ("accuracy", "cv_accuracy", "cv_f1", "cv_critical_recall"))
     loaded, meta = model.load(spark, out)
     assert meta["model_name"] == res["best_model"]
+
+
+def test_training_rows_without_label_are_refused(spark):
+    df = spark.createDataFrame([("NORMAL",), (None,)], "risk_label string")
+    with pytest.raises(ValueError):
+        model.with_class_weights(df)
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    from tremorlake.functions import physics as P
+    from tremorlake.sources import tables
+
+    t = tables.telemetry(spark, SF001).withColumn("risk_label", P.risk_from_ppv("ppv_mms"))
+    seen = [model.feature_importance(model.fit_forest(model.training_matrix(t.repartition(n)), num_trees=5))
+            for n in (1, 3, 8)]
+    for other in seen[1:]:
+        assert [n for n, _ in other] == [n for n, _ in seen[0]]
+        assert [v for _, v in other] == pytest.approx([v for _, v in seen[0]])
+
+
+def test_query_building_without_statistics_runs_no_job(spark):
+    """Plans are declared, not run: the split and the augmentation start no job before an action."""
+    from tremorlake.plans import catalog
+
+    sc = spark.sparkContext
+    for name in ("group_split", "strat_folds", "augment_noise", "derive_compact5"):
+        sc.setJobGroup(f"build-{name}", name)
+        catalog.queries()[name](spark, SF001)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        assert len(jobs) <= 1, (name, jobs)  # at most the reading of a Parquet footer
+    sc.setJobGroup("default", "")

@@ -110,3 +110,17 @@ def test_argmax_ties_go_to_first_class(spark):
 def test_percent_text(spark):
     df = spark.createDataFrame([(0.9607,), (0.98749,), (1.0,)], "c double")
     assert [r[0] for r in df.select(evaluate.percent_text(F.col("c"))).collect()] == ["96.1%", "98.7%", "100.0%"]
+
+
+def test_null_strata_and_keys_are_split_like_any_other(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100).select(F.when(F.col("id") % 5 != 0, F.col("id")).alias("k"), F.col("id").alias("row"),
+                                 F.when(F.col("id") % 4 != 0, F.lit("a")).alias("label"))
+    out = sampling.stratified_split(df, "label", ["k", "row"]).collect()
+    assert len(out) == 100 and sum(r["is_test"] for r in out) == 20
+    assert sum(r["is_test"] for r in out if r["label"] is None) == 5
+    folds = sampling.stratified_folds(df, "label", ["k", "row"]).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [20] * 5
+    groups = sampling.group_split(df.withColumn("aug_round", F.lit(0)), "k", "label", F.col("aug_round") == 0)
+    assert groups.filter("is_test IS NULL").count() == 0
