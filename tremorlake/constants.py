@@ -139,3 +139,9 @@ TEST_FRACTION = 0.2
 N_FOLDS = 5
 FOREST_NAME = "Random Forest"
 BOOSTED_NAME = "Gradient Boosting"
+
+# --- FIXED VALUES: columns of the observation store ---
+STORE_STRING_FIELDS = ["blast_id", "soil_type", "vibration_level", "risk_label"]
+STORE_DOUBLE_FIELDS = ["charge_weight_kg", "burden_m", "spacing_m", "delay_ms", "temperature_c", "wind_speed_ms",
+                       "seismometer_ms2", "geophone_mms", "acc_x_ms2", "acc_y_ms2", "acc_z_ms2", "psd_value",
+                       "ppv_mms", "frequency_hz"]

@@ -12,17 +12,12 @@ from tremorlake.plans.registry import finish, register
 from tremorlake.session import materialize, scratch_dir
 from tremorlake.sources import store, tables
 
-NUM = ["charge_weight_kg", "burden_m", "spacing_m", "delay_ms", "temperature_c", "wind_speed_ms",
-       "seismometer_ms2", "geophone_mms", "acc_x_ms2", "acc_y_ms2", "acc_z_ms2", "psd_value", "ppv_mms",
-       "frequency_hz"]
 TXT = ["timestamp", "blast_id", "soil_type", "vibration_level"]
-ORDER = ["event_id", "timestamp", "blast_id", "charge_weight_kg", "burden_m", "spacing_m", "delay_ms", "soil_type",
-         "temperature_c", "wind_speed_ms", "seismometer_ms2", "geophone_mms", "acc_x_ms2", "acc_y_ms2",
-         "acc_z_ms2", "psd_value", "ppv_mms", "frequency_hz", "vibration_level"]
-RAW_COLS = ["event_id", "Timestamp", "Blast_ID", "Charge_Weight(kg)", "Burden(m)", "Spacing(m)", "Delay(ms)",
-            "Soil_Type", "Temperature(°C)", "Wind_Speed(m/s)", "Seismometer(m/s²)", "Geophone(mm/s)",
-            "Acc_X(m/s²)", "Acc_Y(m/s²)", "Acc_Z(m/s²)", "PSD_Value", "PPV(mm/s)", "Frequency(Hz)",
-            "Vibration_Level"]
+# the raw table's headers: of the spellings that mean one channel, the first
+_FIRST = {name: header for header, name in reversed(K.CANONICAL_NAMES.items())}
+RAW_COLS = ["event_id", *[h for h in K.CANONICAL_NAMES if _FIRST[K.CANONICAL_NAMES[h]] == h]]
+ORDER = ["event_id", *[K.CANONICAL_NAMES[h] for h in RAW_COLS[1:]]]
+NUM = [c for c in ORDER[1:] if c not in TXT]
 RAW_TYPES = ["bigint", "string", "string"] + ["double"] * 4 + ["string"] + ["double"] * 10 + ["string"]
 
 

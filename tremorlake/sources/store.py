@@ -11,10 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STRING_FIELDS = ["blast_id", "soil_type", "vibration_level", "risk_label"]
-DOUBLE_FIELDS = ["charge_weight_kg", "burden_m", "spacing_m", "delay_ms", "temperature_c", "wind_speed_ms",
-                 "seismometer_ms2", "geophone_mms", "acc_x_ms2", "acc_y_ms2", "acc_z_ms2", "psd_value",
-                 "ppv_mms", "frequency_hz"]
+from tremorlake import constants as K
+
+STRING_FIELDS, DOUBLE_FIELDS = K.STORE_STRING_FIELDS, K.STORE_DOUBLE_FIELDS
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
