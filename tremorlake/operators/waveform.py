@@ -41,17 +41,16 @@ def window_features(df: DataFrame, group: list[str], order: list[str], value: st
     d = df.select(*group, F.col(value).alias("_x"), *order, chunk.alias("_chunk")).withColumn("_prev", F.lag(x).over(w1))
     crossed = lambda differ: F.sum(F.when(F.col("_prev").isNotNull(), differ(F.col("_prev"), x)))
     inner = d.groupBy(*group, "_chunk").agg(
-        F.count(x).alias("_n"), F.avg(x).alias("_mean"), F.var_pop(x).alias("_var"), F.sum(x * x).alias("_q"),
+        F.count(x).alias("_n"), F.sum(x).alias("_s"), F.var_pop(x).alias("_var"), F.sum(x * x).alias("_q"),
         F.min(x).alias("_lo"), F.max(x).alias("_hi"), crossed(zero_change).alias("_zc"), crossed(sign_change).alias("_sc"),
         F.min_by(x, pos).alias("_first"), F.max_by(x, pos).alias("_last"))
     w2 = Window.partitionBy(*group).orderBy("_chunk")
     joined = inner.withColumn("_pl", F.lag("_last").over(w2)).withColumn(
-        "_all", F.sum(F.col("_n") * F.col("_mean")).over(Window.partitionBy(*group))
-        / F.sum("_n").over(Window.partitionBy(*group)))
+        "_all", F.sum("_s").over(Window.partitionBy(*group)) / F.sum("_n").over(Window.partitionBy(*group)))
     border = lambda differ: F.sum(F.when(F.col("_pl").isNotNull(), differ(F.col("_pl"), F.col("_first"))))
     total = lambda c: F.coalesce(c, F.lit(0))
     # variance: inside the chunks and between their means
-    spread = F.sum(F.col("_n") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), 2))) / F.sum("_n")
+    spread = F.sum(F.col("_n") * (F.col("_var") + F.pow(F.col("_s") / F.col("_n") - F.col("_all"), 2))) / F.sum("_n")
     out = joined.groupBy(*group).agg(
         F.sum("_n").alias("n"), F.max("_all").alias("mean"), F.sqrt(spread).alias("std"), F.min("_lo").alias("min"),
         F.max("_hi").alias("max"), F.sum("_q").alias("signal_energy"),

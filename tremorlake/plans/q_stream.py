@@ -65,7 +65,7 @@ def stream_rule_alerts(spark, sf_dir):
 
 @register("stream_windows", f"""WITH {S.TELEMETRY},
 s AS (SELECT node_id, time_bucket(INTERVAL '1 hour', ts) AS ws, ts, event_id,
-             floor((ppv_mms - 2e0)*10e0)/10e0 AS x FROM telemetry),
+             floor((ppv_mms - 2e0)*10e0) AS x FROM telemetry),
 lagged AS (SELECT *, lag(x) OVER (PARTITION BY node_id, ws ORDER BY ts, event_id) AS px FROM s)
 SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, node_id, count(*) AS n, {_metrics('node_id')}
 FROM lagged GROUP BY node_id, ws
@@ -77,7 +77,7 @@ def stream_windows(spark, sf_dir):
     t = _raw9_with_time(spark, sf_dir)
     src = packets.write_packet_files(t, f"{base}/in")
     stream = packets.read_packets(spark, src, packets.RAW9_SCHEMA, files_per_trigger=1000) \
-        .withColumn("x", F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)) / F.lit(10.0))
+        .withColumn("x", F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)).cast("double"))
     q = packets.window_stream(stream, "x", f"{base}/out", f"{base}/ckpt")
     packets.run(q)
     out = spark.read.parquet(f"{base}/out")

@@ -51,13 +51,13 @@ def waveform_grouped(spark, sf_dir):
 
 @register("waveform_hourly", f"""WITH {S.TELEMETRY},
 s AS (SELECT node_id, strftime(ts, '%Y-%m-%d %H:00') AS hour, ts, event_id,
-             floor((ppv_mms - 2e0)*10e0)/10e0 AS x FROM telemetry),
+             floor((ppv_mms - 2e0)*10e0) AS x FROM telemetry),
 lagged AS (SELECT *, lag(x) OVER (PARTITION BY node_id, hour ORDER BY ts, event_id) AS px FROM s)
 SELECT node_id, hour, count(*) AS n, {_metrics('node_id')} FROM lagged GROUP BY node_id, hour""")
 def waveform_hourly(spark, sf_dir):
     """Per node and hour: waveform metrics of the PPV deviation signal (10-minute chunks for the lag)."""
     t = tables.telemetry(spark, sf_dir)
     s = t.select("node_id", F.date_format("ts", "yyyy-MM-dd HH:00").alias("hour"), "ts", "event_id",
-                 (F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)) / F.lit(10.0)).alias("x"))
+                 F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)).cast("double").alias("x"))
     out = waveform.window_features(s, ["node_id", "hour"], ["ts", "event_id"], "x", F.floor(F.minute("ts") / 10))
     return finish(out.select("node_id", "hour", "n", *FEATURE_NAMES))

@@ -84,7 +84,7 @@ renamed AS (
 WAVES = """raw_samples AS (
   SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS e FROM embeddings),
 samples AS (
-  SELECT vec_id, label, i, round(cast(e AS DOUBLE), 1) AS x FROM raw_samples)"""
+  SELECT vec_id, label, i, round(cast(e AS DOUBLE)*10e0, 0) AS x FROM raw_samples)"""
 
 # the dirty packets as the reports see them: NaN is missing; infinities in their own columns
 DIRTY = TELEMETRY + """,

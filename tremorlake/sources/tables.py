@@ -122,12 +122,12 @@ def raw_blast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waveform_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One waveform buffer per embedding row: samples as doubles rounded to 0.1 (creates zeros)."""
+    """One waveform buffer per embedding row: samples in whole tenths (creates zeros, and sums are exact in any order)."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         F.col("vec_id"),
         F.col("label"),
-        F.transform("embedding", lambda x: F.round(x.cast("double"), 1)).alias("samples"),
+        F.transform("embedding", lambda x: F.round(x.cast("double") * 10, 0)).alias("samples"),
     )
 
 
