@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,19 @@ from pyspark.sql import functions as F
 from tremorlake.session import scratch_dir
 
 
+def find_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a local master in any working folder).
+
+    On a cluster the package is shipped as usual (``--py-files`` or an installed wheel); the entry is then unused.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
