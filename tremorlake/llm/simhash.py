@@ -12,10 +12,10 @@ of GROUPS - d groups.  A fingerprint has one cell per choice, and candidate
 pairs meet by an equi-join on the cell.
 
 Dense cells are not multiplied out.  First each member of a cell is checked
-against two of the cell's members (its smallest and largest fingerprint) and
-the components of these links are found; only members outside the component
-of their cell's first pivot are then joined with the cell, and only pairs of
-different components are verified.  Every link between components is found,
+against two of the cell's members (its smallest and largest fingerprint),
+which settles cells of two, and the components of these links are found; only
+members outside the component of their cell's first pivot are then joined with
+the cell, and only pairs of different components are verified.  Every link between components is found,
 so the components are exact.
 
 Defined results: a NULL or blank text has fingerprint 0 and is linked like
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.common import connected_components, written
 
-GROUPS = 7
+GROUPS = 8
 _LOW = 0x5555555555555555
 
 
@@ -113,14 +113,17 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4, groups: int = GROU
     if not 0 <= max_bits < groups <= 32:
         raise ValueError("groups must exceed max_bits and be 32 at most")
     members = cells(fps, max_bits, groups)
-    pivots = (members.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-              .filter(F.col("lo") != F.col("hi")))
-    shared = written(members.join(pivots, "cell"), "simhash-cells")
+    held = written(members.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"),
+                                               F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-cells")
+    # two in a cell: all is said by comparing them; more: each against the cell's smallest and largest
+    pairs = held.filter((F.col("n") == 2) & near("lo", "hi", max_bits)).select(F.col("hi").alias("a"),
+                                                                               F.col("lo").alias("b"))
+    shared = written(members.join(held.filter("n > 2").select("cell", "lo", "hi"), "cell"), "simhash-members")
     to_lo = shared.filter((F.col("fp") != F.col("lo")) & near("fp", "lo", max_bits)).select(
         F.col("fp").alias("a"), F.col("lo").alias("b"))
     to_hi = shared.filter((F.col("fp") != F.col("hi")) & near("fp", "hi", max_bits)).select(
         F.col("fp").alias("a"), F.col("hi").alias("b"))
-    first = connected_components(to_lo.unionByName(to_hi).distinct())
+    first = connected_components(pairs.unionByName(to_lo).unionByName(to_hi).distinct())
 
     def labelled(df: DataFrame, col: str, out: str) -> DataFrame:
         lab = first.select(F.col("node").alias(col), F.col("comp").alias("_c"))
