@@ -43,8 +43,9 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Append the batch's digests the index lacks; of equal ones in the batch the largest doc_id is entered."""
-        fresh = (batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-                 .join(self.read().hint("merge"), "digest", "left_anti"))
+        # written first: the join would else be moved below the grouping, and meet every copy of a text
+        distinct = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digest-batch")
+        fresh = distinct.join(self.read().hint("merge"), "digest", "left_anti")
         (fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
          .saveAsTable(self.table))
         self.spark.catalog.refreshTable(self.table)
