@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlake.llm.common import written
+from tremorlake.llm.common import slices, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32)
@@ -172,7 +172,7 @@ def _scan(docs: DataFrame, automaton: ItemAutomaton, keep: list[str], only_hits:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = pickle.loads(shared.value)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1)
             words, spans, items, cuts = [], [], [], []
             for t in texts:

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlake.llm.common import slices
+
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
 #: characters worked on at a time
-SLAB = 1 << 20
+SLAB = 1 << 19
 
 
 def _letters() -> np.ndarray:
@@ -156,7 +158,7 @@ def learn(docs: DataFrame, n: int = 4, train_docs: int = 4_000, grams: int = 4_0
     sample = rows.filter(draw < F.try_element_at(rate, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 for _, pieces in _slabs([t for x, t in zip(langs, texts) if x == lang], n):
@@ -185,7 +187,7 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in slices(batches):
             lang, score = own.predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()),
                                               pa.array(score, pa.float64())], schema.fieldNames())

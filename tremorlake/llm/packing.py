@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.llm.common import slices
+
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Latin text: here lower-casing and composition act per character, and the classes below are stable.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ]*\\Z")
@@ -235,17 +237,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches, 256):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a in range(0, len(texts), 256):
-                for doc, ids in zip(batch.column(0)[a:a + 256].to_pylist(), tok.encode(texts[a:a + 256])):
-                    packer.add((doc, ids + end), len(ids) // 4 + 1)
-                    held += len(ids) // 4 + 1
-                if held >= buffer_tokens:
-                    packer.flush()
-                    held = 0
-                if len(out) >= 4096:
-                    yield from emit()
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(texts)):
+                packer.add((doc, ids + end), len(ids) // 4 + 1)
+                held += len(ids) // 4 + 1
+            if held >= buffer_tokens:
+                packer.flush()
+                held = 0
+            if len(out) >= 4096:
+                yield from emit()
         packer.flush()
         yield from emit()
 
