@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import connected_components, written
+from tremorlake.llm.common import connected_components, shuffle_width, slices, written
 
 GROUPS = 8
 _LOW = 0x5555555555555555
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, fp)`` with fp a signed 64-bit long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -95,7 +95,9 @@ def cell_masks(max_bits: int, groups: int = GROUPS) -> list[int]:
 def cells(fps: DataFrame, max_bits: int, groups: int) -> DataFrame:
     """``(cell, fp)``: the grid cells of every fingerprint."""
     keys = [F.xxhash64(F.lit(i), F.col("u").bitwiseAND(F.lit(m))) for i, m in enumerate(cell_masks(max_bits, groups))]
-    return fps.select("fp", unary_counts(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*keys)).alias("cell"))
+    spread = fps.repartition(shuffle_width(fps.sparkSession), "fp")  # a row becomes many
+    return (spread.select("fp", unary_counts(F.col("fp")).alias("u"))
+            .select("fp", F.explode(F.array(*keys)).alias("cell")))
 
 
 def near(a: str, b: str, max_bits: int) -> Column:
