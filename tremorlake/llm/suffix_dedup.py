@@ -233,8 +233,9 @@ class Refinement:
         often = kinds.filter("n > 1").select("stretch")
         ranges = [found.join(often, "stretch").select("doc_id", "tag", F.col("low").alias("first"),
                                                       F.col("high").alias("last"))]
-        mixed = (kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
-                 .filter("kinds > 1 AND rarest = 1").select("bucket"))
+        # the counts are written before they are joined: Spark splits a large bucket between tasks only then
+        mixed = written(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
+                        .filter("kinds > 1 AND rarest = 1").select("bucket"), "suffix-mixed")
         live = written(kinds.join(mixed, "bucket").select("stretch", "n", "at.*"), "suffix-live")
         name = table_name("suffix_snippets")
         (self.snippets(live).repartition(shuffle_width(self.spark), "stretch").write.format("parquet")
@@ -243,19 +244,23 @@ class Refinement:
         at_work = bodies.withColumn("parents", F.array(F.lit(0)))
         for size in SPLITS:
             parts = written(self.parts(at_work, size), "suffix-parts")
-            twice = (parts.filter("whole IS NOT NULL").groupBy("whole").agg(F.count(F.lit(1)).alias("m"))
-                     .filter("m > 1").select("whole", F.lit(True).alias("twice")))
-            judged = (parts.join(twice, "whole", "left")
-                      .withColumn("known", (F.col("n") > 1) | F.coalesce("twice", F.lit(False))))
-            judged = written(judged.select("stretch", "n", "part", "core", "known"), "suffix-judged")
+            inside = parts.filter("whole IS NOT NULL")
+            twice = written(inside.groupBy("whole").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+                            .select("whole", F.lit(True).alias("twice")), "suffix-twice")
+            cols = ["stretch", "n", "part", "core"]
+            judged = written(
+                inside.join(twice, "whole", "left")
+                .select(*cols, ((F.col("n") > 1) | F.coalesce("twice", F.lit(False))).alias("known"))
+                .unionByName(parts.filter("whole IS NULL").select(*cols, (F.col("n") > 1).alias("known"))),
+                "suffix-judged")
             places = live.filter("n = 1").select("stretch", "doc_id", "tag", "anchor")
             ranges.append(judged.filter("n = 1 AND known").join(places, "stretch").select(
                 "doc_id", "tag", (F.col("anchor") - F.least(F.col("part") + size, F.lit(width)) + 1).alias("first"),
                 (F.col("anchor") - F.col("part")).alias("last")))
             if size > 1:
-                open_cores = (judged.groupBy("core").agg(F.count(F.lit(1)).alias("m"),
-                                                         F.min(F.col("known").cast("int")).alias("all_known"))
-                              .filter("m > 1 AND all_known = 0").select("core"))
+                open_cores = written(judged.groupBy("core")
+                                     .agg(F.count(F.lit(1)).alias("m"), F.min(F.col("known").cast("int")).alias("all"))
+                                     .filter("m > 1 AND all = 0").select("core"), "suffix-cores")
                 again = judged.join(open_cores, "core").groupBy("stretch").agg(F.collect_list("part").alias("parents"))
                 at_work = bodies.join(again, "stretch")
         out = ranges[0]
