@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import shuffle_width, table_name
 
 U = np.uint64
-HASH_BITS = 56
+HASH_BITS = 52
 _M = U(0x9E3779B97F4A7C15)
 LAYOUT = "chunk string, weight int, words long, docs array<long>, sizes array<int>, codes binary, vocabulary binary"
 
@@ -78,8 +78,7 @@ def _lay_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _grams(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per order from 1 on: hashes of the n-grams that end at each word, and whether the document has that n-gram."""
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(words)) - begin
+    place = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     own = words
     for n in range(1, order + 1):
         if n > 1:
@@ -115,6 +114,7 @@ def layout(docs: DataFrame, weight: int, chunk_bytes: int) -> DataFrame:
                 if size >= chunk_bytes:
                     yield chunk()
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield chunk()
 
@@ -137,7 +137,11 @@ def explode_grams(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                 words, sizes = _positions(codes, vocabulary, sizes)
                 out = []
                 for n, (own, there) in enumerate(_grams(words, sizes, order), 1):
-                    names, counts = np.unique(own[there], return_counts=True)
+                    names = own[there]
+                    names.sort()
+                    first = np.flatnonzero(np.diff(names, prepend=~names[:1]))
+                    counts = np.diff(first, append=len(names))
+                    names = names[first]
                     part = (names >> U(HASH_BITS - bits)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
                     for a, z in zip(edges[:-1], edges[1:]):
@@ -148,6 +152,7 @@ def explode_grams(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.string(), pa.binary(),
                                                                     pa.binary()))],
                         ["n", "part", "chunk", "hashes", "counts"])
+                    pa.default_memory_pool().release_unused()
 
     return chunks.select("chunk", "weight", "sizes", "codes", "vocabulary").mapInArrow(
         run, "n int, part int, chunk string, hashes binary, counts binary")
@@ -183,15 +188,16 @@ def score_words(counts: list[np.ndarray], there: list[np.ndarray], total: int, b
 
 
 def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, min_count: int = 2,
-                   backoff: float = 0.4, chunk_bytes: int = 1 << 24, group_words: int = 1 << 20) -> DataFrame:
+                   backoff: float = 0.4, chunk_bytes: int = 1 << 22, group_words: int = 1 << 20) -> DataFrame:
     """``(doc_id, n_words, log_score)`` of every row of ``docs``, with the counts of ``corpus`` (default: ``docs``)."""
     spark = docs.sparkSession
     chunks = layout(docs, 1 if corpus is None else 0, chunk_bytes)
     if corpus is not None:
         chunks = chunks.unionByName(layout(corpus, 1, chunk_bytes))
     name = table_name("lm_chunks")
-    chunks.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_width(spark), "chunk") \
-        .saveAsTable(name)
+    # a row holds megabytes: small row groups without dictionaries keep few of them in the writer
+    (chunks.write.format("parquet").option("compression", "zstd").option("parquet.enable.dictionary", "false")
+     .option("parquet.block.size", str(8 << 20)).bucketBy(shuffle_width(spark), "chunk").saveAsTable(name))
     laid = spark.table(name)
     words, total = laid.agg(F.sum("words"), F.sum(F.col("words") * F.col("weight"))).first()
     words, total = words or 0, total or 0
