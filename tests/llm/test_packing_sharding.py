@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_cases import documents, empty, frame
 
-from tremorlake.llm import packing, sharding
+from tremorlake.llm import packing, queries, sharding
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +130,36 @@ def test_written_shards_hold_all_columns(spark, tmp_path):
     assert {r.doc_id: r.text for r in back.collect()} == texts
     want = {r.doc_id: r.shard for r in sharding.shard(df).collect()}
     assert {r.doc_id: r.shard_folder for r in back.collect()} == want
+
+
+@pytest.mark.parametrize("ids", [list(range(1500)), [None] * 500 + list(range(1000)), [7] * 500 + list(range(1000))])
+def test_query_cuts_a_hot_text_into_even_shards(spark, tmp_path, ids):
+    texts = ["copy" * 50] * 500 + [f"text {i} " * 5 for i in range(1000)]
+    frame(spark, list(zip(ids, texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op3_histogram_shards(spark, str(tmp_path)).collect()
+    sizes, slots = [0] * 8, [[] for _ in range(8)]
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    raw = [t.encode() for t in texts]
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in rows) == sorted(
+        (i or 0, len(b) + 1, zlib.crc32(b)) for i, b in zip(ids, raw))
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(sizes) - min(sizes) <= 3 * 201  # a splitter is off by half a row at most, and 0.1 %
+
+
+def test_many_rows_without_bytes_are_dealt_over_bins(spark):
+    df = frame(spark, [(None, "") for _ in range(1500)] + [(i, f"text {i}") for i in range(3000)])
+    rows = sharding.written(sharding.keyed(df), "shard-test")
+    placed = sharding.ShardPlan(rows, 8, 0.001, whole_texts=False).place(rows, rows_per_bin=50)
+    assert placed.groupBy("shard", "bin").count().agg({"count": "max"}).first()[0] <= 150
+
+
+def test_written_shards_of_a_hot_text_are_even(spark, tmp_path):
+    texts = {i: "copy" * 50 for i in range(500)} | {i: f"text {i} " * 5 for i in range(500, 1500)}
+    sharding.write_shards(frame(spark, list(texts.items())), str(tmp_path / "out"), whole_texts=False)
+    sizes = [0] * 8
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        assert texts.pop(r.doc_id) == r.text
+        sizes[r.shard_folder] += len(r.text) + 1
+    assert not texts and max(sizes) - min(sizes) <= 3 * 201

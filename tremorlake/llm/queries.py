@@ -27,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard(documents(spark, sf_dir), shards=8)
+    rows = sharding.shard(documents(spark, sf_dir), shards=8, whole_texts=False)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
 

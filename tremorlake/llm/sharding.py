@@ -4,14 +4,20 @@ Rows are ordered by a 64-bit hash of their text, so equal texts share a key
 and stay together.  Candidate boundaries (probes) are refined against exact
 byte counts below them, summed over all partitions, until every splitter is
 within tolerance of its target; then each row goes to its shard and slot in
-one exchange.  Texts that alone hold more than the tolerance (a bounded list)
-are dealt to shards first, largest to the emptiest, and the splitters of the
-rest aim at what is left of each shard's share.
+one exchange.  Texts that alone hold more than the tolerance in bytes or rows
+(a bounded list) are dealt to shards first, largest to the emptiest, and the
+splitters of the rest aim at what is left of each shard's share.
+
+A text whose copies fit no shard's share is cut unless ``whole_texts``: its
+rows are ordered by a hash of text and doc_id among all others, so the same
+exact counts deal them out.  With ``whole_texts`` it stays in one shard, which
+is then larger than the others.
 
 Defined results: a NULL text has no bytes and goes with the empty text;
 repeated rows are counted each; rows are told apart by doc_id only for the
-order inside a shard; other columns are never read; an empty table gives no
-rows.
+order inside a shard and in large texts (there rows of one doc_id that are
+many by themselves also by their place in the table); other columns are never
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        (F.octet_length(raw) + 1).cast("long").alias("size"),
-                       F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"))
+                       F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"),
+                       F.monotonically_increasing_id().alias("row"))
 
 
 def _below(rows: DataFrame, probes: list[int]) -> list[int]:
@@ -73,65 +80,85 @@ def splitters(rows: DataFrame, targets: list[float], total: int, tolerance: int,
 
 
 class ShardPlan:
-    """Which shard a key goes to: the large keys one by one, the others by splitters."""
+    """Which shard a key goes to: the large keys one by one, the others and the cut ones by splitters."""
 
-    def __init__(self, rows: DataFrame, shards: int, tolerance: float):
+    def __init__(self, rows: DataFrame, shards: int, tolerance: float, whole_texts: bool = True):
         self.spark = rows.sparkSession
         total, self.count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
         total = total or 0
         share = total / shards
         slack = max(1, int(share * tolerance))
-        # a key is large from half a percent of a share on: at most 200 * shards keys
-        large = (rows.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > max(slack, share * 0.005))
-                 .orderBy(F.desc("n"), "key").collect())
+        # large from half a percent of a share of bytes or rows on: at most 400 * shards keys
+        large = ((F.col("n") > max(slack, share * 0.005)) | (F.col("m") > max(1, self.count / shards * 0.005)))
+        held = F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")
         load, dealt = [0] * shards, {}
-        for k, n in large:
+        for k, n, m in rows.groupBy("key").agg(*held).filter(large).orderBy(F.desc("n"), "key").collect():
             to = min(range(shards), key=lambda s: (load[s], s))
-            dealt[k] = to
-            load[to] += n
+            if whole_texts or m == 1 or load[to] + n <= self._level(load, total - sum(load)):
+                dealt[k] = to
+                load[to] += n
+            else:
+                dealt[k] = None
         self.large = self.spark.createDataFrame(list(dealt.items()), "large_key long, large_shard int")
+        many = (rows.join(F.broadcast(self.large), F.col("key") == F.col("large_key"), "left_semi")
+                .groupBy("key", "doc_id").agg(*held).filter(large & (F.col("m") > 1)).select("key", "doc_id"))
+        self.many = self.spark.createDataFrame(many.collect() if dealt else [], "many_key long, many_id long")
         light = total - sum(load)
-        needs = self._needs(load, light)
+        level = self._level(load, light)
+        needs = [max(0.0, level - x) for x in load]
         ends = [sum(needs[:i + 1]) for i in range(shards - 1)]
-        self.cuts = splitters(self._with_large(rows).filter("large_shard IS NULL"), ends, light, slack)
+        loose = self._with_large(rows).filter("large_shard IS NULL").select(F.col("at").alias("key"), "size")
+        self.cuts = splitters(loose, ends, light, slack)
 
     @staticmethod
-    def _needs(load: list[int], light: int) -> list[float]:
-        """What each shard takes of the ``light`` bytes so that the emptier ones rise to one level."""
+    def _level(load: list[int], light: int) -> float:
+        """Where the emptier shards end up when the ``light`` bytes raise them to one level."""
         base, room, level = sorted(load), light, 0.0
         for i, low in enumerate(base):
             level = low + room / (i + 1)
             if i + 1 == len(base) or level <= base[i + 1]:
                 break
             room -= (base[i + 1] - low) * (i + 1)
-        return [max(0.0, level - x) for x in load]
+        return level
 
     def _with_large(self, rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(self.large), F.col("key") == F.col("large_key"), "left").drop("large_key")
+        """``rows`` plus ``large_shard``, ``part`` (a hash within a large key, else NULL) and ``at`` (the order)."""
+        many = F.broadcast(self.many)
+        out = (rows.join(F.broadcast(self.large), F.col("key") == F.col("large_key"), "left")
+               .join(many, (F.col("large_key") == F.col("many_key")) & F.col("doc_id").eqNullSafe(F.col("many_id")),
+                     "left"))
+        part = F.when(F.col("many_key").isNotNull(), F.xxhash64("key", "doc_id", "row")).otherwise(
+            F.xxhash64("key", "doc_id"))
+        return (out.withColumn("part", F.when(F.col("large_key").isNotNull(), part))
+                .withColumn("at", F.when(F.col("large_shard").isNull(), F.coalesce("part", "key"))
+                            .otherwise(F.col("key")))
+                .drop("large_key", "many_key", "many_id"))
 
     def place(self, rows: DataFrame, rows_per_bin: int) -> DataFrame:
-        """``rows`` (with key and doc_id) plus ``shard`` and ``bin``: key ranges, and parts of a large key by doc_id."""
+        """``rows`` (with key, doc_id, row) plus ``shard`` and ``bin``: ranges of ``at``, and parts of a large key."""
         by_cut = F.lit(0)
         for c in self.cuts:
             if c <= HIGH:
-                by_cut = by_cut + (F.col("key") >= F.lit(c)).cast("int")
+                by_cut = by_cut + (F.col("at") >= F.lit(c)).cast("int")
         bits = max(6, (self.count // rows_per_bin).bit_length())
-        by_key = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(LOW)), 64 - bits)
-        by_doc = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + (1 << bits)
+        by_key = F.shiftrightunsigned(F.col("at").bitwiseXOR(F.lit(LOW)), 64 - bits)
+        by_part = F.pmod(F.col("part"), F.lit(1 << bits)) + (1 << bits)
         return (self._with_large(rows).withColumn("shard", F.coalesce("large_shard", by_cut))
-                .withColumn("bin", F.when(F.col("large_shard").isNull(), by_key).otherwise(by_doc))
-                .drop("large_shard"))
+                .withColumn("bin", F.when(F.col("large_shard").isNull(), by_key).otherwise(by_part))
+                .drop("large_shard", "part", "at"))
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, rows_per_bin: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, rows_per_bin: int = 50_000,
+          whole_texts: bool = True) -> DataFrame:
     """``(doc_id, size, text_crc32, key, shard, slot)``: shards of near-equal bytes, slots gapless from 0.
 
     ``tolerance``: the error allowed per splitter, as a part of a shard's
     share.  A shard's rows are numbered by bins of about ``rows_per_bin``
-    rows, whose counts give each bin's first slot.
+    rows, whose counts give each bin's first slot.  ``whole_texts``: copies share
+    a shard even if they alone are more than its share.
     """
     rows = written(keyed(docs), "shard-keys")
-    placed = ShardPlan(rows, shards, tolerance).place(rows, rows_per_bin)
+    placed = ShardPlan(rows, shards, tolerance, whole_texts).place(rows, rows_per_bin)
     firsts = (placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("bin")) - F.col("n"))
               .drop("n"))
@@ -141,11 +168,11 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, rows_per_b
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float = 0.001,
-                 rows_per_bin: int = 50_000) -> None:
+                 rows_per_bin: int = 50_000, whole_texts: bool = True) -> None:
     """Write ``docs`` (all columns) into one folder per shard, dealt by one exchange and sorted in each file."""
-    plan = ShardPlan(written(keyed(docs), "shard-keys"), shards, tolerance)
+    plan = ShardPlan(written(keyed(docs), "shard-keys"), shards, tolerance, whole_texts)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(raw).alias("key"),
-                        F.col("doc_id").cast("long").alias("doc_id"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(raw).alias("key"),
+                        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     placed = plan.place(whole, rows_per_bin).repartition("shard", "bin").sortWithinPartitions("shard", "bin", "key")
-    placed.select("row.*", F.col("shard").alias("shard_folder")).write.partitionBy("shard_folder").parquet(path)
+    placed.select("doc.*", F.col("shard").alias("shard_folder")).write.partitionBy("shard_folder").parquet(path)
