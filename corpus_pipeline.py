@@ -24,11 +24,14 @@ def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are NULL or hold no letter go.  Learns from three quarters of the ids."""
+    """Documents with a language; texts that are NULL, hold no letter or no language's n-grams go.
+
+    Learns from three quarters of the ids; if nothing could be learned, all texts with letters stay.
+    """
     model = langid.learn(docs.filter(id_fold(4) != 2))
     judged = langid.identify(docs.withColumn("__stage_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])),
-                             model, ["__stage_row"])
-    return judged.filter(F.col("lang_pred") != langid.UNKNOWN).select("__stage_row.*")
+                             model, ["__stage_row"], known=True)
+    return judged.filter("known").select("__stage_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

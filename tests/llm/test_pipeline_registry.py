@@ -1,8 +1,10 @@
 import os
+import random
 import zlib
 
 import corpus_pipeline
 import pytest
+from llm_cases import sentence
 from test_dedup import brute_fingerprint, brute_groups, brute_lines
 from test_text_models import brute_hits
 
@@ -88,3 +90,15 @@ def test_run_packs_what_the_stages_kept(spark, stages):
 
 def test_pipeline_file_is_part_of_the_removable_half():
     assert os.path.dirname(corpus_pipeline.__file__) == os.path.dirname(__spark_entry__.__file__)
+
+
+def test_language_stage_decides_by_n_grams(spark):
+    rng = random.Random(4)
+    plain = {i: sentence(rng, rng.randrange(1, 40)) for i in range(400)} | {400: "x", 401: "1 of"}
+    odd = {500: "日本語のテキストだけ" * 30, 501: "щщъъыы " * 200, 502: "qqxzj wvvqk zzxq " * 20}
+    blank = {600: None, 601: "12 !!", 602: ""}
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(i, t, lang if i < 400 else None) for i, t in (plain | odd | blank).items()],
+                                     "doc_id long, text string, lang string").repartition(3)
+        kept = by_id(corpus_pipeline.identify_language(spark, docs, SF))
+        assert kept == (plain if lang else plain | odd)

@@ -15,6 +15,11 @@ Defined results: NULL texts and texts without a letter are ``und`` with score
 name; a text without a known n-gram gets the first of these with score
 1 / languages; repeated rows are reported each; no labelled document at all:
 every row is ``und``; an empty table gives no rows.
+
+A text is known (``identify(..., known=True)``) if some language holds more of
+its n-grams than its filter's false positives explain.  Texts with letters but
+fewer than ``LEAST_GRAMS`` n-grams, or where nothing could be learned, cannot be
+judged and count as known; texts without a letter never do.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
 #: characters worked on at a time
 SLAB = 1 << 19
+#: n-grams a text needs to be held unknown: one of a learned language has a known one among so many
+LEAST_GRAMS = 8
 
 
 def _letters() -> np.ndarray:
@@ -117,7 +124,8 @@ class LanguageFilter:
         return np.array([np.mean(self.bits[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)) ** self.hashes
                          for i in range(len(self.languages))])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether the text is known."""
         size = len(self.languages)
         counts, total = np.zeros((len(texts), size)), np.zeros(len(texts))
         has = np.zeros(len(texts), bool)
@@ -131,13 +139,19 @@ class LanguageFilter:
                 bit = masks[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)
                 np.add.at(counts[:, i], rows, np.bincount(owner, weights=bit, minlength=len(at)))
         rate = self.false_rate()
+        chance = total[:, None] * rate
+        found = (counts > chance + 3 * np.sqrt(chance * (1 - rate))).any(axis=1)  # three sigma over the false ones
+        judged = has & (found | (total < LEAST_GRAMS) if size else True)
         counts = np.maximum(0.0, counts - total[:, None] * rate) / np.maximum(1e-9, 1 - rate)
         best = counts.argmax(axis=1) if size else np.zeros(len(texts), int)
         top, sums = counts.max(axis=1, initial=0.0), counts.sum(axis=1)
         score = np.where(sums > 0, top / np.where(sums > 0, sums, 1), 1 / max(1, size))
         known = has & bool(size)
         return ([self.languages[b] if k else UNKNOWN for b, k in zip(best, known)],
-                [float(s) if k else 0.0 for s, k in zip(score, known)])
+                [float(s) if k else 0.0 for s, k in zip(score, known)], judged.tolist())
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
 
 
 def learn(docs: DataFrame, n: int = 4, train_docs: int = 4_000, grams: int = 4_000, slots: int = 1 << 17,
@@ -178,18 +192,24 @@ def learn(docs: DataFrame, n: int = 4, train_docs: int = 4_000, grams: int = 4_0
     return out
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` plus ``lang_pred`` and ``score`` (which replace columns of these names)."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], known: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` plus ``lang_pred`` and ``score``, and ``known`` if asked for.
+
+    The new columns replace columns of these names.
+    """
+    keep = [c for c in keep if c not in ("lang_pred", "score") + ("known",) * known]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__llm_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+    if known:
+        schema = schema.add("known", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches):
-            lang, score = own.predict(b.column(b.num_columns - 1).to_pylist())
+            lang, score, judged = own.judge(b.column(b.num_columns - 1).to_pylist())
+            extra = [pa.array(judged, pa.bool_())] if known else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()),
-                                              pa.array(score, pa.float64())], schema.fieldNames())
+                                              pa.array(score, pa.float64()), *extra], schema.fieldNames())
 
     return chosen.mapInArrow(run, schema)
