@@ -174,6 +174,17 @@ def test_simhash_edges(spark):
     assert kept.columns == df.columns
 
 
+def test_one_row_of_a_group_stays_with_null_and_repeated_ids(spark):
+    one, two, three = ("alpha beta gamma delta " * 6 + w for w in ("one", "two two two", "three three three three"))
+    one, two, three = one, two[::-1], three.upper()[5:] + " omega" * 30
+    rows = [(None, one), (None, one), (7, two), (None, two), (7, two), (7, three), (9, three), (None, None), (None, "")]
+    df = frame(spark, rows)
+    fps = {t: brute_fingerprint(t) for t in (one, two, three, "")}
+    assert all((a ^ b).bit_count() > 4 for a in fps.values() for b in fps.values() if a != b)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(df).collect()))
+    assert kept == sorted([(0, one), (7, two), (7, three), (0, "")])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in connected_components(links).collect()}

@@ -22,7 +22,7 @@ Defined results: a NULL or blank text has fingerprint 0 and is linked like
 any other; fewer words than a shingle are one shingle; repeated rows of a
 doc_id are reported each; NULL doc_ids get the smallest real doc_id of their
 component (NULL if none); other columns are never read; an empty table gives
-no rows.
+no rows.  Dropping keeps one row of each component, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -62,16 +62,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, fp)`` with fp a signed 64-bit long."""
+def fingerprints(docs: DataFrame, shingle: int, row: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)`` with fp a signed 64-bit long; with ``row`` (a long) also that as ``row``."""
+    names = ["doc_id", "fp", *(["row"] if row is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       *([row.alias("row")] if row is not None else [])) \
+        .mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -147,18 +149,29 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4, groups: int = GROU
     return nodes.join(merged, "comp", "left").select("fp", F.coalesce("top", "comp").alias("comp"))
 
 
+def _components_with_first(rows: DataFrame, first: Column, max_bits: int, groups: int) -> DataFrame:
+    """``(fp, first, comp)`` for every distinct fp of ``rows``; ``first`` is an aggregate over its rows."""
+    distinct = written(rows.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    comps = fingerprint_components(distinct.select("fp"), max_bits, groups)
+    return distinct.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, groups: int = GROUPS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; component_id is the smallest doc_id reachable over links."""
     rows = written(fingerprints(docs, shingle), "simhash-fps")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    comps = fingerprint_components(distinct.select("fp"), max_bits, groups)
-    tops = distinct.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    tops = _components_with_first(rows, F.min("doc_id"), max_bits, groups)
     least = tops.groupBy("comp").agg(F.min("first").alias("component_id"))
     return rows.join(tops.join(least, "comp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` (all columns) with one document, the smallest doc_id, of each component."""
-    keep = (near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__llm_id")).distinct())
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id")), "left_semi")
+    """``docs`` (all columns) with one row of each component: the smallest doc_id, NULL last, its first row.
+
+    Rows are told apart by a number that is written with them, so NULL and repeated ids stand for one row each.
+    """
+    numbered = written(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "simhash-rows")
+    rows = written(fingerprints(numbered, shingle, F.col("__llm_row")), "simhash-fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    keep = (_components_with_first(rows, first, max_bits, GROUPS).groupBy("comp").agg(F.min("first").alias("first"))
+            .select(F.col("first.row").alias("__llm_row")))
+    return numbered.join(keep, "__llm_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
