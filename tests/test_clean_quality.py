@@ -243,3 +243,10 @@ def test_quantile_seeds_from_report_aggregates(spark):
     for r in seeded:
         col = vals[r["column"]].dropna().to_numpy()
         assert r["value"] == pytest.approx(np.quantile(col, r["p"]), abs=1e-12)
+
+
+def test_report_counts_rows_on_both_sides(spark):
+    train = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (3.0, None), (5.0, 6.0)], "ppv_mms double, vdv double")
+    test = spark.createDataFrame([(1.0, 2.0), (3.0, None), (5.0, 7.0)], "ppv_mms double, vdv double")
+    rep = quality.report(train.unionByName(test), train=train, test=test)
+    assert rep["train_test_overlap"].first()["shared_rows"] == 2

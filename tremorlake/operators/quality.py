@@ -210,5 +210,7 @@ def report(df: DataFrame, cols: list[str] | None = None, train: DataFrame | None
             out["ppv_by_label"] = ranges
             out["leak_intervals"] = leak_intervals(ranges)
     if train is not None and test is not None:
-        out["train_test_overlap"] = train_test_overlap(train, test)
+        both = (test.select(*cols).withColumn("__is_test", F.lit(True))
+                .unionByName(train.select(*cols).withColumn("__is_test", F.lit(False))))
+        out["train_test_overlap"] = train_test_overlap(both, cols, "__is_test")
     return out
