@@ -127,7 +127,7 @@ def test_correlation_pairwise_complete(spark):
 def test_reports_and_metadata_echo(spark):
     from tremorlake.sources import tables
 
-    from conftest import SF001
+    from paths import SF001
 
     raw = clean.canonical_names(tables.raw_blast_table(spark, SF001))
     rep = profile.profile_table(raw, key="event_id")

@@ -9,7 +9,7 @@ from tremorlake.plans import q_model
 from tremorlake.session import scratch_dir
 from tremorlake.streaming import packets
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 # FIXED VALUES: the six hardware test packets (node, 9 raw channels) and their expected labels
 GOLDEN = [

@@ -11,7 +11,7 @@ from tremorlake.operators import evaluate, sampling
 from tremorlake.plans import q_evaluate
 from tremorlake.sources import tables
 
-from conftest import SF01
+from paths import SF01
 
 
 def _labelled(spark):
