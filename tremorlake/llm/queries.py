@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremorlake.llm import decontam, exact_dedup, langid, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup
+from tremorlake.llm import (
+    clustering, decontam, exact_dedup, langid, line_dedup, lm_score, negatives, packing, quality, secrets, sharding,
+    simhash, suffix_dedup)
 from tremorlake.llm.common import documents, id_fold
+from tremorlake.llm.vectors import embeddings
+
 
 def sha256_text(col) -> F.Column:
     return F.sha2(col.cast("binary"), 256)
@@ -82,6 +86,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha256_text(F.coalesce(F.col("text"), F.lit(""))).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(documents(spark, sf_dir), "doc_id", "text")
+    of = lambda kinds: F.filter("findings", lambda s: s["rule"].isin(*kinds))
+    count = lambda kind: F.size(of([kind])).cast("long")
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE],
+                       sha256_text(joined(of(secrets.BASE))).alias("base_sha256"), joined("findings").alias("spans"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(embeddings(spark, sf_dir), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    parts = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    total = F.coalesce(F.sum("inertia").over(Window.partitionBy(F.lit(0))), F.lit(0))  # one row a centroid
+    clusters = found.clusters.select("cluster", F.col("inertia").alias("cluster_inertia"),
+                                     total.cast("long").alias("inertia"), sha256_text(parts).alias("centroid_sha256"))
+    return found.vectors.join(F.broadcast(clusters), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 OP4_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -126,6 +155,58 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+OP11_SQL = """
+WITH x AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         unnest(range(len(embedding))) AS p, CAST(unnest(embedding) AS DOUBLE) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+ok AS (SELECT vec_id, label FROM x GROUP BY ALL HAVING count(*) FILTER (WHERE e IS NULL OR NOT isfinite(e)) = 0),
+v AS MATERIALIZED (SELECT vec_id, label, p, CAST(floor(256*e) AS BIGINT) AS x FROM x SEMI JOIN ok USING (vec_id)),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(sum(a.x*r.x) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.p = r.p AND a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+  GROUP BY a.vec_id, r.vec_id, a.label, r.label),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT pos.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos JOIN s ON pos.anchor_id = s.anchor_id AND NOT same AND 80*positive_score <= 100*score
+       AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM neg WHERE rank <= 5
+"""
+
+
+def clustering_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Each round as two tables: ``a``, the least distance * k + number of every vector, and ``c``, the centroids."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, min(d*{k} + c) AS m FROM (
+    SELECT vec_id, c, CAST(sum((x - y)*(x - y)) AS BIGINT) AS d FROM v JOIN c{r} USING (p) GROUP BY vec_id, c)
+  GROUP BY vec_id)"""
+    means = """c{q} AS MATERIALIZED (
+  SELECT c{r}.c, c{r}.p, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{r} LEFT JOIN (
+    SELECT m % {k} AS c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY 1, 2) t
+  ON c{r}.c = t.c AND c{r}.p = t.p)"""
+    steps = [f"""x AS (SELECT vec_id, unnest(range({dims})) AS p, CAST(unnest(embedding) AS DOUBLE) AS e
+  FROM embeddings WHERE len(embedding) = {dims})""",
+             f"""ok AS (SELECT vec_id, sha256('{seed}:' || vec_id) AS h FROM x GROUP BY vec_id
+  HAVING count(*) FILTER (WHERE e IS NULL OR NOT isfinite(e)) = 0)""",
+             f"v AS MATERIALIZED (SELECT vec_id, p, CAST(floor({scale}*e) AS BIGINT) AS x FROM x SEMI JOIN ok USING (vec_id))",
+             f"""c0 AS MATERIALIZED (SELECT c, p, x AS y FROM v JOIN (
+  SELECT vec_id, row_number() OVER (ORDER BY h) - 1 AS c FROM ok ORDER BY h LIMIT {k}) USING (vec_id))"""]
+    for r in range(rounds):
+        steps += [nearest.format(r=r, k=k), means.format(r=r, q=r + 1, k=k)]
+    steps.append(nearest.format(r=rounds, k=k))
+    return "WITH " + ",\n".join(steps) + f""",
+t AS (SELECT vec_id, m % {k} AS c, m // {k} AS d FROM a{rounds}),
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM t GROUP BY c),
+h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(t.c AS INTEGER) AS cluster, d AS distance, own AS cluster_inertia,
+       (SELECT CAST(sum(own) AS BIGINT) FROM i) AS inertia, h AS centroid_sha256
+FROM t JOIN i ON t.c = i.c JOIN h ON t.c = h.c"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_packing": op1_packing,
@@ -138,9 +219,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_clustering": op13_clustering,
 }
 ORACLE = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
-    "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_line_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL, "op13_clustering": clustering_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
