@@ -250,3 +250,63 @@ def test_report_counts_rows_on_both_sides(spark):
     test = spark.createDataFrame([(1.0, 2.0), (3.0, None), (5.0, 7.0)], "ppv_mms double, vdv double")
     rep = quality.report(train.unionByName(test), train=train, test=test)
     assert rep["train_test_overlap"].first()["shared_rows"] == 2
+
+
+def test_moments_do_not_depend_on_the_order(spark):
+    import math
+    from fractions import Fraction
+
+    from tremorlake.operators.moments import moments
+    from tremorlake.operators.quantiles import column_stats
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"tax": rng.integers(0, 9, 4000) / 100, "offset": 1e6 + rng.normal(0, 0.1, 4000),
+                        "wide": rng.normal(0, 1, 4000) * 10.0 ** rng.integers(-8, 9, 4000),
+                        "huge": rng.choice([-1.7e308, 1.7e308, 0.3], 4000), "still": 4.25})
+    df, cols = spark.createDataFrame(pdf), list(pdf.columns)
+    stats = column_stats(df, cols)
+    found = [moments(df.repartition(n, "wide").sortWithinPartitions(F.xxhash64("wide", F.lit(n))), cols, stats)
+             for n in (1, 3, 4, 8)]
+    assert all(repr(f) == repr(found[0]) for f in found)
+    for c in ("tax", "offset", "wide"):
+        assert found[0][c]["mean"] == math.fsum(pdf[c]) / len(pdf)
+    assert found[0]["huge"]["mean"] == pytest.approx(float(sum(map(Fraction, pdf["huge"].tolist())) / len(pdf)))
+    for c in ("tax", "offset", "wide"):
+        assert found[0][c]["std"] == pytest.approx(pdf[c].std(), rel=1e-9)
+        assert found[0][c]["skew"] == pytest.approx(pdf[c].skew(), rel=1e-6, abs=1e-9)
+    assert found[0]["still"] == {"n": 4000, "mean": 4.25, "std": 0.0, "skew": 0.0}
+
+
+def test_moments_of_few_and_infinite_values(spark):
+    from tremorlake.operators.profile import numeric_summary
+
+    df = spark.createDataFrame([(1.0, None, float("inf"), 5.0), (2.0, None, 1.0, None)],
+                               "two double, none double, inf double, one double")
+    got = {r["column"]: r for r in numeric_summary(df).collect()}
+    assert (got["two"]["mean"], got["two"]["skew"]) == (1.5, None) and got["two"]["std"] == pytest.approx(0.5 ** 0.5)
+    assert [got["none"][k] for k in ("n", "mean", "std", "min", "median", "max", "skew")] == [0] + [None] * 6
+    assert (got["one"]["n"], got["one"]["mean"], got["one"]["std"]) == (1, 5.0, None)
+    assert (got["inf"]["mean"], got["inf"]["max"], got["inf"]["min"]) == (float("inf"), float("inf"), 1.0)
+
+
+def test_filters_reach_the_scan(spark):
+    from paths import SF001
+    from tremorlake.sources import tables
+
+    plan = tables.table(spark, SF001, "lineitem").filter("l_quantity > 49")._jdf.queryExecution().toString()
+    assert "GreaterThan(l_quantity,49.0)" in plan
+
+
+def test_correlation_with_gaps_matches_pandas(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(0, 1, (500, 4)), columns=list("abcd"))
+    pdf["b"] = pdf["a"] * 0.9 + pdf["b"] * 0.1 + 1e6
+    pdf.loc[rng.random(500) < 0.3, "b"] = None
+    pdf.loc[rng.random(500) < 0.5, "c"] = None
+    pdf["e"] = np.where(pdf["c"].isna(), rng.normal(0, 1, 500), 7.0)  # constant wherever c is present
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)],
+                               "a double, b double, c double, d double, e double")
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in quality.corr_pairs(df, limit=-1.0).collect()}
+    ref = pdf.corr()
+    assert ("c", "e") not in got and len(got) == 9
+    assert all(r == pytest.approx(ref.loc[a, b], abs=1e-9) for (a, b), r in got.items())

@@ -161,3 +161,50 @@ def test_query_building_without_statistics_runs_no_job(spark):
         jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
         assert len(jobs) <= 1, (name, jobs)  # at most the reading of a Parquet footer
     sc.setJobGroup("default", "")
+
+
+def test_json_lines_are_parsed_or_quarantined_with_a_reason(spark):
+    from tremorlake.streaming import packets
+
+    whole = '"vibration":0.5,"tilt":1,"temperature":"27.5","moisture":2e1,"displacement":-0.25'
+    cases = {
+        '{%s,"node_id":"N1","event_id":7,"other":[1]}' % whole: None,
+        '{%s}' % whole: None,
+        '{%s' % whole: "malformed",
+        "": "malformed",
+        "[1,2]": "malformed",
+        "12": "malformed",
+        "{}": "missing: vibration,tilt,temperature,moisture,displacement",
+        '{%s}' % whole.replace("0.5", "null"): "missing: vibration",
+        '{%s}' % whole.replace("0.5", "true"): "mistyped: vibration",
+        '{%s}' % whole.replace("0.5", '"NaN"'): "mistyped: vibration",
+        '{%s}' % whole.replace("0.5", '"1d"'): "mistyped: vibration",
+        '{%s}' % whole.replace("0.5", "1e999"): "mistyped: vibration",
+        '{%s,"event_id":"x","ts":"soon"}' % whole.replace('"tilt":1,', ""): "mistyped: event_id,ts; missing: tilt",
+    }
+    got = {r["line"]: r for r in packets.parse_json(spark.createDataFrame([(c,) for c in cases], "value string")).collect()}
+    assert {c: r["reason"] for c, r in got.items()} == cases
+    first = got[next(iter(cases))]
+    assert (first["event_id"], first["node_id"], first["vibration"], first["temperature"], first["displacement"]) == \
+        (7, "N1", 0.5, 27.5, -0.25)
+    assert packets.parse_json(spark.createDataFrame([], "value string")).count() == 0
+
+
+def test_stream_window_std_with_a_large_offset(spark, tmp_path):
+    import datetime as dt
+
+    import numpy as np
+    from tremorlake.streaming import packets
+
+    rng, start = np.random.default_rng(3), dt.datetime(2026, 1, 1)
+    x = (1e6 + rng.normal(0, 0.01, 900)).tolist()
+    rows = [(i, "n", start + dt.timedelta(seconds=2 * i), v) for i, v in enumerate(x)]
+    rows += [(1000, "gap", start, None), (1001, "gap", start + dt.timedelta(seconds=30), 2.5),
+             (1002, "late", start + dt.timedelta(hours=3), 0.0)]
+    df = spark.createDataFrame(rows, "event_id long, node_id string, ts timestamp, x double").coalesce(1)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    packets.run(packets.window_stream(stream, "x", f"{tmp_path}/out", f"{tmp_path}/ckpt"))
+    got = {r["node_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got["n"]["n"] == 900 and got["n"]["std"] == pytest.approx(np.std(x), rel=1e-6)
+    assert (got["gap"]["n"], got["gap"]["mean"], got["gap"]["std"]) == (1, 2.5, 0.0)

@@ -6,13 +6,16 @@ the table (partial aggregation on the map side), never one scan per column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.operators.clean import numeric_columns, text_columns
-from tremorlake.operators.quantiles import clean_value, exact_quantiles, stat_aggs, stats_from_row
+from tremorlake.operators.moments import moments
+from tremorlake.operators.quantiles import column_stats, exact_quantiles
 
 
 def categorize_name(name: str) -> str | None:
@@ -117,29 +120,25 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: n, mean, std (sample), min, median (exact), max, skew (bias-corrected G1).
 
-    NaN counts as missing; the skew of a constant column is 0.
+    NaN counts as missing; the skew of a constant column is 0.  Sums are exact, so the result does not
+    depend on the order of the rows.
     """
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, n long, mean double, std double, min double, median double, max double, skew double")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = clean_value(c)
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.when(F.min(x) < F.max(x), F.skewness(x)).when(F.count(x) > 0, 0.0).alias(f"g{i}")]
-    # one bounded row (a few values per column), which also seeds the median search
-    wide = df.agg(*aggs, *stat_aggs(cols)).first()
-    long = df.sparkSession.createDataFrame(
-        [(c, *(wide[f"{k}{i}"] for k in ("c", "a", "s", "lo", "hi", "g"))) for i, c in enumerate(cols)],
-        "column string, n bigint, mean double, std double, min double, max double, g1 double")
-    n = F.col("n").cast("double")
-    skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    med = exact_quantiles(df, cols, [0.5], stats=stats_from_row(wide, cols)) \
+    stats = column_stats(df, cols)  # also seeds the median search
+    found = moments(df, cols, stats)
+    least = lambda s: -math.inf if s["ng"] else s["mn"] if s["n"] else math.inf if s["pg"] else None
+    most = lambda s: math.inf if s["pg"] else s["mx"] if s["n"] else -math.inf if s["ng"] else None
+    long = df.sparkSession.createDataFrame(  # one row per column
+        [(c, found[c]["n"], found[c]["mean"], found[c]["std"], least(stats[c]), most(stats[c]), found[c]["skew"])
+         for c in cols],
+        "column string, n bigint, mean double, std double, min double, max double, skew double")
+    med = exact_quantiles(df, cols, [0.5], stats=stats) \
         .select("column", F.col("value").alias("median"))
     return (long.join(F.broadcast(med), "column", "left")
-            .select("column", "n", "mean", "std", "min", "median", "max", skew.alias("skew")))
+            .select("column", "n", "mean", "std", "min", "median", "max", "skew"))
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, top: int = 5, full_up_to: int = 10) -> DataFrame:

@@ -7,8 +7,11 @@ at all and the flag projection stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import math
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,41 +143,61 @@ def leak_intervals(ranges: DataFrame) -> DataFrame:
 def corr_pairs(df: DataFrame, cols: list[str] | None = None, limit: float = 0.90) -> DataFrame:
     """Pearson r for all column pairs i < j (pairwise-complete, like pandas); keep |r| > limit (0: all of them).
 
-    Columns without missing values go through one vector per row (a Gram
-    matrix per task, no row is expanded); only pairs with a column that has
-    missing or infinite values are summed pair by pair.  A constant column has
-    no correlation and gives no row.
+    Two scans: one for every column's range and mean, one that adds up the
+    Gram matrix of a vector per row: 1, the centred and scaled values (0 where
+    missing) and, if any column has missing or infinite values, the squares and
+    those columns' masks.  Count, sums, squares and products over the rows that
+    have both values of a pair are entries of it; a task holds one matrix and
+    no row is expanded.  A column that is constant, or varies by less than a
+    millionth of its size over the rows of a pair, has no correlation and gives
+    no row; nor does a column with infinities.
     """
     cols = numeric_columns(df) if cols is None else cols
+    empty = df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    whole = df.agg(F.count(F.lit(1)).alias("rows"), *stat_aggs(cols)).first()
+        return empty
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), *stat_aggs(cols),
+                   *[F.avg(finite_value(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     stats = stats_from_row(whole, cols)
     varied = [c for c in cols if stats[c]["n"] and stats[c]["mn"] < stats[c]["mx"] and not stats[c]["ng"] + stats[c]["pg"]]
-    full = [c for c in varied if stats[c]["n"] == whole["rows"]]
+    if len(varied) < 2:
+        return empty
+    centre = {c: whole[f"a{i}"] for i, c in enumerate(cols)}
+    gaps = [c for c in varied if stats[c]["n"] < whole["rows"]]
+    gram = _gram(df, [_unit(c, stats[c], centre[c]) for c in varied], [finite_value(c).isNotNull() for c in gaps])
+    k, mask = len(varied), {c: 1 + 2 * len(varied) + i for i, c in enumerate(gaps)}
+
+    def both(i: int, j: int) -> tuple[float, float, float]:
+        """Number, sum and sum of squares of column i over the rows that have column j."""
+        m = mask.get(varied[j], 0)
+        square = gram[1 + k + i, m] if gaps else gram[1 + i, 1 + i]
+        return gram[mask.get(varied[i], 0), m], gram[1 + i, m], square
+
     rows: list[tuple[str, str, float]] = []
-    if len(full) > 1:
-        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(
-            df.select(*[F.col(sql_ident(c)).cast("double").alias(c) for c in full]))
-        r = Correlation.corr(vectors, "_v").first()[0].toArray()
-        rows += [(full[i], full[j], float(r[i, j])) for i in range(len(full)) for j in range(i + 1, len(full))]
-    pairs = [(a, b) for i, a in enumerate(varied) for b in varied[i + 1:] if not (a in full and b in full)]
-    if pairs:
-        got = df.agg(*[_pair_corr(a, b, stats).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
-        rows += [(a, b, got[f"p{k}"]) for k, (a, b) in enumerate(pairs) if got[f"p{k}"] is not None]
-    order = {c: i for i, c in enumerate(cols)}
-    kept = sorted((x for x in rows if abs(x[2]) > limit), key=lambda x: (order[x[0]], order[x[1]]))
-    return df.sparkSession.createDataFrame(kept, "column_a string, column_b string, r double")
-
-
-def _pair_corr(a: str, b: str, stats: dict) -> Column:
-    """r over the rows that have both values; NULL where either does not vary.  Sums are taken around a middle."""
-    x, y = finite_value(a), finite_value(b)
-    both = x.isNotNull() & y.isNotNull()
-    u = F.when(both, x - F.lit(stats[a]["mn"] / 2 + stats[a]["mx"] / 2))
-    v = F.when(both, y - F.lit(stats[b]["mn"] / 2 + stats[b]["mx"] / 2))
-    return F.when((F.min(u) < F.max(u)) & (F.min(v) < F.max(v)), F.covar_pop(u, v)
-                  / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0)))
+    for i in range(k):
+        for j in range(i + 1, k):
+            (n, x, xx), (_, y, yy) = both(i, j), both(j, i)
+            vx, vy = n * xx - x * x, n * yy - y * y
+            if vx > 1e-12 * n * xx and vy > 1e-12 * n * yy:
+                r = (n * gram[1 + i, 1 + j] - x * y) / (math.sqrt(vx) * math.sqrt(vy))
+                rows.append((varied[i], varied[j], float(min(1.0, max(-1.0, r)))))
+    return df.sparkSession.createDataFrame([x for x in rows if abs(x[2]) > limit], empty.schema)
+
+
+def _unit(c: str, stats: dict, centre: float) -> Column:
+    """The value less the mean, scaled to at most 1; 0 where it is missing."""
+    reach = max(stats["mx"] - centre, centre - stats["mn"])
+    return F.coalesce((finite_value(c) - F.lit(centre)) / F.lit(reach), F.lit(0.0))
+
+
+def _gram(df: DataFrame, values: list[Column], masks: list[Column]):
+    """Sum over the rows of v'v, v = (1, values, and with masks: their squares, masks)."""
+    units = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)], *[m.cast("double").alias(f"m{i}") for i, m in
+                                                                          enumerate(masks)])
+    x, m = [F.col(f"x{i}") for i in range(len(values))], [F.col(f"m{i}") for i in range(len(masks))]
+    entries = [F.lit(1.0), *x, *([v * v for v in x] + m if masks else [])]
+    vectors = MLUtils.convertVectorColumnsFromML(units.select(array_to_vector(F.array(*entries)).alias("v")), "v")
+    return RowMatrix(vectors, 0, len(entries)).computeGramianMatrix().toArray()
 
 
 def sql_ident(s: str) -> str:

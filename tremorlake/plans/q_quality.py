@@ -310,7 +310,7 @@ pairs AS (""" + "\n UNION ALL\n".join(
     for i, a in enumerate(NUM) for b in NUM[i + 1:]) + f""")
 SELECT column_a, column_b, {r6('r')} AS r FROM pairs WHERE abs(r) > 0.9e0""")
 def corr_pairs(spark, sf_dir):
-    """Highly correlated channel pairs (|r| > 0.90), all pairs in one aggregate."""
+    """Highly correlated channel pairs (|r| > 0.90): one scan for ranges and means, one for the Gram matrix."""
     return finish(quality.corr_pairs(renamed(spark, sf_dir), NUM))
 
 

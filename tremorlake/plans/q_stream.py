@@ -50,6 +50,36 @@ def stream_scores(spark, sf_dir):
         F.lit(False).alias("in_domain"), F.lit(False).alias("alert_follows")))
 
 
+@register("stream_json", f"""WITH {S.COMPACT},
+f AS (SELECT *, event_id % 53 = 2 OR event_id % 37 = 5 AS broken, event_id % 41 = 3 AS word FROM compact),
+g AS (SELECT *, CASE WHEN word THEN 'mistyped: vibration' END AS wrong,
+        CASE WHEN tilt IS NULL AND moisture IS NULL THEN 'missing: tilt,moisture' WHEN tilt IS NULL THEN 'missing: tilt'
+             WHEN moisture IS NULL THEN 'missing: moisture' END AS absent FROM f),
+h AS (SELECT *, CASE WHEN broken THEN 'malformed' ELSE nullif(concat_ws('; ', wrong, absent), '') END AS reason FROM g)
+SELECT event_id, CASE WHEN reason IS NULL THEN 'packets' ELSE 'quarantine' END AS sink, reason,
+       CASE WHEN NOT broken THEN node_id END AS node_id,
+       CASE WHEN NOT broken AND NOT word THEN round(vibration, 6) + 0e0 END AS vibration,
+       CASE WHEN NOT broken THEN round(tilt, 6) + 0e0 END AS tilt FROM h""")
+def stream_json(spark, sf_dir):
+    """ST1 on JSON lines: cut lines (every 37th id) and lines of other text (every 53rd) are malformed, a reading
+    in words (every 41st) is mistyped, absent readings are missing; the quarantine names the reason."""
+    eid = F.col("event_id")
+    text = F.to_json(F.struct(*[f.name for f in packets.COMPACT_SCHEMA.fields]))
+    text = F.when(eid % 41 == 3, F.regexp_replace(text, r'"vibration":[^,}]+', '"vibration":"high"')).otherwise(text)
+    text = F.when(eid % 53 == 2, F.concat(F.lit("packet event_id="), eid.cast("string"))) \
+        .when(eid % 37 == 5, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    base = scratch_dir(spark, "stream-json")
+    _compact_with_time(spark, sf_dir).select(text.alias("value")).write.text(f"{base}/in")
+    packets.run(packets.ingest_json(packets.read_json_lines(spark, f"{base}/in", files_per_trigger=1000),
+                                    f"{base}/out", f"{base}/ckpt"))
+    valid, held = (packets.ingested(spark, f"{base}/out", s) for s in ("packets", "quarantine"))
+    known = F.coalesce("event_id", F.regexp_extract("line", r"event_id\W+([0-9]+)", 1).cast("long")).alias("event_id")
+    return finish(valid.select("event_id", F.lit("packets").alias("sink"), F.lit(None).cast("string").alias("reason"),
+                               "node_id", "vibration", "tilt")
+                  .unionByName(held.select(known, F.lit("quarantine").alias("sink"), "reason", "node_id", "vibration",
+                                           "tilt")))
+
+
 @register("stream_rule_alerts", _COMPACT_CTE + """
 SELECT event_id, round(vibration_magnitude_ms2, 6) + 0e0 AS vibration_magnitude_ms2
 FROM der WHERE vibration_magnitude_ms2 > 2e0""")

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.sources.files import nan_to_null
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -20,26 +18,8 @@ SOIL_TYPES = ["Clay", "Gravel", "Rock", "Sand"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; NaN counts as missing.
-
-    A table that Spark would read in fewer splits than there are cores (so at
-    most one split's bytes per core) is dealt over them; this looks at file
-    sizes only, runs nothing, and leaves larger tables as they are.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = nan_to_null(spark.read.parquet(path))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if split_count(spark, path) < cores else df
-
-
-def split_count(spark: SparkSession, path: str) -> int:
-    """Splits of ``spark.sql.files.maxPartitionBytes`` that the files under ``path`` make, from their sizes."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    held = jpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(jpath)
-    limit = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(1, -(-held.getLength() // limit))
+    """A driver table as it is stored: filters and columns reach the scan.  The operators take NaN for missing."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _props_number(props: Column) -> Column:
