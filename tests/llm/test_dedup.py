@@ -251,3 +251,25 @@ def test_suffix_edges(spark):
     assert suffix_dedup.suffix_dedup(empty(spark)).collect() == []
     df, texts = documents(spark)
     assert suffix_rows(df, length=100, gram=16) == brute_suffix(list(texts.items()), 100)
+
+
+def test_a_digest_index_is_reopened_with_its_own_buckets(spark, tmp_path):
+    from tremorlake.llm import exact_dedup
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    path, width = f"{tmp_path}/index", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        exact_dedup.DigestIndex(spark, path).add(exact_dedup.digests(docs))
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 4 and again.read().count() == 200
+        more = docs.unionByName(spark.createDataFrame([(900, "new"), (901, "text 5")], docs.schema))
+        again.add(exact_dedup.digests(more))
+        assert again.read().count() == 201
+        kept = exact_dedup.exact_dedup(more, exact_dedup.DigestIndex(spark, path)).filter("kept")
+        assert kept.count() == 201
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=16)

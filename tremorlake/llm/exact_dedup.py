@@ -21,22 +21,47 @@ from tremorlake.llm.common import lookup_skewed, shuffle_width, table_name, writ
 from tremorlake.session import scratch_dir
 
 
+#: Folder of an index, followed by its number of buckets; the 1 is the format.
+FOLDER = "digests-1-buckets-"
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest)`` of every whole text, not normalised."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"))
 
 
+def stored_buckets(spark: SparkSession, path: str) -> list[int]:
+    """Bucket counts of the index folders below ``path`` (one, or none before the first use)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    names = [st.getPath().getName() for st in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix(FOLDER)) for n in names if n.startswith(FOLDER))
+
+
 class DigestIndex:
-    """Table of known digests at ``path``; reopening the path continues with what was appended before."""
+    """Table of known digests at ``path``; reopening the path continues with what was appended before.
+
+    The files lie in a folder whose name holds the format and the number of
+    buckets, so an index is read with the buckets it was written with, whatever the
+    session's settings.  ``buckets`` counts for a new index only; another
+    number than the stored one, or two stored ones, is an error.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.path = path or scratch_dir(spark, "digest-index")
-        self.buckets = buckets or shuffle_width(spark)
+        self.path = (path or scratch_dir(spark, "digest-index")).rstrip("/")
+        stored = stored_buckets(spark, self.path)
+        if len(stored) > 1 or stored and buckets not in (None, stored[0]):
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored[0] if stored else buckets or shuffle_width(spark)
         self.table = table_name("digest_index")
+        location = f"{self.path}/{FOLDER}{self.buckets}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
