@@ -310,3 +310,27 @@ def test_correlation_with_gaps_matches_pandas(spark):
     ref = pdf.corr()
     assert ("c", "e") not in got and len(got) == 9
     assert all(r == pytest.approx(ref.loc[a, b], abs=1e-9) for (a, b), r in got.items())
+
+
+def test_csv_cells_never_turn_to_null_unseen(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tremorlake.sources import files
+
+    schema = T.StructType.fromDDL("a long, b double, t timestamp, s string, absent double")
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfa,b,t,s\n1,2.5,2026-01-01 00:00:00,x\n2,NA,,n/a\n\n"
+                                       b"x,1d,never,y\n3,2\n4,1,,\"p,q\",9\n")
+    (tmp_path / "other.csv").write_text("s,extra,a\nz,7,5\nz,bad,5.5\n")
+    got = files.read_csv_checked(spark, files.find_data_files(spark, str(tmp_path)), schema)
+    rows = {r["a"]: (r["b"], r["t"] is not None, r["s"], r["absent"]) for r in got.rows.collect()}
+    assert rows == {1: (2.5, True, "x", None), 2: (None, False, None, None), 5: (None, False, "z", None)}
+    bad = {(r["file"].rsplit("/", 1)[1], tuple((x["column"], x["text"]) for x in r["reasons"])): r["line"]
+           for r in got.rejected.collect()}
+    assert bad == {("bom.csv", (("a", "x"), ("b", "1d"), ("t", "never"))): "x,1d,never,y",
+                   ("bom.csv", ((None, None),)): bad[("bom.csv", ((None, None),))],
+                   ("other.csv", (("a", "5.5"),)): "z,bad,5.5"}
+    assert got.rejected.count() == 4 and got.rejected.select("line").where("line LIKE '4,%9' OR line = '3,2'").count() == 2
+    # what a query asks for does not change which lines pass
+    assert got.rows.select("s").count() == 3
+    none = files.read_csv_checked(spark, [], schema)
+    assert none.rows.columns == schema.names and none.rows.count() == 0 and none.rejected.count() == 0

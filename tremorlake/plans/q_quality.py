@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
@@ -449,3 +450,60 @@ def csv_mixed_headers(spark, sf_dir):
             fs.rename(path(f), path(f"{base}/all/{part}{i}.{ext}"))
     return finish(files.read_tables(spark, f"{base}/all").select(
         F.col("event_id").cast("long").alias("event_id"), "node_id", "ppv_mms"))
+
+
+CELLS_SQL = S.TELEMETRY + """,
+lines AS (
+  SELECT event_id, node_id, temperature_c, ppv_mms,
+         event_id % 23 = 0 AS bad_ppv, event_id % 31 = 0 AS bad_temperature, event_id % 41 = 0 AS bad_cells,
+         event_id % 29 = 0 AS no_ppv
+  FROM telemetry)"""
+
+
+def _malformed_lines(spark, sf_dir) -> str:
+    """Telemetry as Latin-1 CSV with broken cells: text for a number, a decimal comma, short and long lines."""
+    t = tables.telemetry(spark, sf_dir)
+    eid = F.col("event_id")
+    ppv = (F.when(eid % 23 == 0, F.lit("sensor?")).when(eid % 29 == 0, F.lit("NaN"))
+           .otherwise(F.col("ppv_mms").cast("string")))
+    temperature = F.when(eid % 31 == 0, F.lit('"20,5"')).otherwise(F.col("temperature_c").cast("string"))
+    text = F.concat_ws(",", eid.cast("string"), "node_id", temperature, ppv)
+    text = F.when(eid % 82 == 0, F.concat(text, F.lit(",9"))).when(eid % 41 == 0, F.concat_ws(",", eid, "node_id")).otherwise(text)
+    path = scratch_dir(spark, "malformed")
+    # a single column without quoting: its name is the header line, its values are the lines
+    t.select(text.alias("event_id,node_id,Temperature(°C),ppv_mms")).write \
+        .options(header="true", sep="\u0001", quote="", encoding="ISO-8859-1").csv(path)
+    return path
+
+
+def _checked_lines(spark, sf_dir):
+    from tremorlake.sources import files
+
+    path = _malformed_lines(spark, sf_dir)
+    schema = "event_id long, node_id string, `Temperature(°C)` double, ppv_mms double"
+    return files.read_csv_checked(spark, files.find_data_files(spark, path), T.StructType.fromDDL(schema),
+                                  encoding="ISO-8859-1")
+
+
+@register("csv_checked_rows", f"""WITH {CELLS_SQL}
+SELECT event_id, node_id, {r6('temperature_c')} AS temperature_c, CASE WHEN NOT no_ppv THEN {r6('ppv_mms')} END AS ppv_mms
+FROM lines WHERE NOT bad_ppv AND NOT bad_temperature AND NOT bad_cells""")
+def csv_checked_rows(spark, sf_dir):
+    """The lines of a Latin-1 CSV that parse cell by cell; a missing reading stays NULL."""
+    rows = _checked_lines(spark, sf_dir).rows
+    return finish(rows.withColumnRenamed("Temperature(°C)", "temperature_c"))
+
+
+@register("csv_rejected_lines", f"""WITH {CELLS_SQL}
+SELECT event_id,
+       concat_ws(',', CASE WHEN bad_cells THEN 'number of cells' END,
+                 CASE WHEN bad_temperature AND (NOT bad_cells OR event_id % 82 = 0) THEN 'Temperature(°C)=20,5' END,
+                 CASE WHEN bad_ppv AND (NOT bad_cells OR event_id % 82 = 0) THEN 'ppv_mms=sensor?' END) AS reasons
+FROM lines WHERE bad_ppv OR bad_temperature OR bad_cells""")
+def csv_rejected_lines(spark, sf_dir):
+    """The lines that do not parse, each with all its reasons (column and text, or the number of cells)."""
+    bad = _checked_lines(spark, sf_dir).rejected
+    told = F.transform("reasons", lambda r: F.when(r["column"].isNull(), r["problem"])
+                       .otherwise(F.concat_ws("=", r["column"], r["text"])))
+    return bad.select(F.split_part("line", F.lit(","), F.lit(1)).cast("long").alias("event_id"),
+                      F.array_join(told, ",").alias("reasons"))
