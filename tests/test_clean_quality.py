@@ -217,10 +217,73 @@ def test_store_replaces_as_a_whole(spark, tmp_path):
     assert back.count() == 10 and back.select("id").distinct().count() == 10
     import glob
 
-    first = max((d for d in glob.glob(f"{path}/v-*")), key=lambda d: len(glob.glob(f"{d}/*/*.parquet")))
+    first = max((d for d in glob.glob(f"{path}/data/batch=*")), key=lambda d: len(glob.glob(f"{d}/*/*.parquet")))
     assert all(len(glob.glob(f"{d}/*.parquet")) <= 2 for d in glob.glob(f"{first}/obs_date=*"))
 
 
+def _observations(spark, rows):
+    return spark.createDataFrame(rows, "timestamp string, blast_id string, ppv_mms double").repartition(5)
+
+
+def test_store_appends_with_dense_ids(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.read_observations(spark, path).count() == 0
+    day = lambda n: f"2026-01-{1 + n % 5:02d}T00:00:{n % 60:02d}"
+    assert store.append_observations(_observations(spark, [(day(i), f"b{i}", float(i)) for i in range(300)]), path) == 300
+    assert store.append_observations(_observations(spark, [("bad", None, 1.0)] * 40), path) == 40
+    assert store.append_observations(_observations(spark, []), path) == 0
+    back = store.read_observations(spark, path)
+    assert sorted(r["id"] for r in back.collect()) == list(range(1, 341))
+    assert back.where("obs_date IS NULL").count() == 40
+    assert back.where("obs_date = DATE'2026-01-02'").count() == 60
+    plan = back.where("obs_date = DATE'2026-01-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(obs_date" in plan
+
+
+def test_store_upsert_replaces_by_key(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = [("2026-01-01T00:00:00", "a", 1.0), ("2026-01-01T00:00:00", "b", 2.0), ("2026-01-02T00:00:00", "a", 3.0),
+             ("2026-01-01T00:00:00", None, 4.0), ("bad", "a", 5.0)]
+    store.write_observations(_observations(spark, first), path)
+    ids = {(r["obs_date"], r["blast_id"]): r["id"] for r in store.read_observations(spark, path).collect()}
+    news = [("2026-01-01T00:00:00", "a", 10.0), ("2026-01-01T00:00:00", "a", 11.0), ("2026-01-03T00:00:00", "c", 6.0),
+            ("2026-01-01T00:00:00", None, 7.0), ("worse", "a", 8.0)]
+    assert store.upsert_observations(_observations(spark, news), path) == (1, 3)
+    rows = store.read_observations(spark, path).collect()
+    assert sorted((str(r["obs_date"]), r["blast_id"] or "", r["ppv_mms"]) for r in rows) == sorted([
+        ("2026-01-01", "a", 11.0), ("2026-01-01", "b", 2.0), ("2026-01-02", "a", 3.0), ("2026-01-01", "", 4.0),
+        ("2026-01-01", "", 7.0), ("None", "a", 5.0), ("None", "a", 8.0), ("2026-01-03", "c", 6.0)])
+    assert sorted(r["id"] for r in rows) == list(range(1, 9))
+    assert {ids[k] for k in ids} == {r["id"] for r in rows if r["ppv_mms"] in (11.0, 2.0, 3.0, 4.0, 5.0)}
+    # the same rows again change nothing but those without a key
+    assert store.upsert_observations(_observations(spark, news[:3]), path) == (2, 0)
+    assert store.read_observations(spark, path).count() == 8
+    with pytest.raises(ValueError):
+        store.upsert_observations(_observations(spark, news), path, keys=("blast_id",))
+
+
+def test_store_of_two_writers_one_fails_cleanly(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "store")
+    store.write_observations(_observations(spark, [("2026-01-01T00:00:00", "a", 1.0)]), path)
+    seen = store.latest(spark, path)
+    more = _observations(spark, [("2026-01-01T00:00:00", "b", 2.0)])
+    assert store.append_observations(more, path, base=seen) == 1
+    before = sorted(glob.glob(f"{path}/**", recursive=True))
+    for lose in (store.append_observations, store.upsert_observations):
+        with pytest.raises(store.StoreConflict):
+            lose(more, path, base=seen)
+    assert sorted(glob.glob(f"{path}/**", recursive=True)) == before  # nothing of the losers stays
+    assert {(r["id"], r["blast_id"]) for r in store.read_observations(spark, path).collect()} == {(1, "a"), (2, "b")}
+    # earlier versions can be read until they expire, then their folders go
+    assert store.read_observations(spark, path, seen.number).count() == 1
+    for i in range(3):
+        store.write_observations(more, path)
+    assert len(glob.glob(f"{path}/data/batch=*")) == 2 and len(glob.glob(f"{path}/snapshots/*.json")) == 2
+    assert store.read_observations(spark, path).count() == 1
+
+
 def test_quantile_seeds_from_report_aggregates(spark):
     """Seeding the search with n / min / max from a caller's aggregate gives the unseeded result
     (NaN and NULL skipped, a hot value holding a third of the rows, several histogram passes)."""

@@ -129,6 +129,23 @@ def store_roundtrip(spark, sf_dir):
     return finish(back.select(*cols, F.lit(ids == n).alias("id_unique")))
 
 
+@register("store_upsert", f"""
+SELECT event_id, {r6("CASE WHEN event_id % 2 = 0 THEN value/25e0 + 1e0 ELSE value/25e0 END")} AS ppv_mms, true AS ids_dense
+FROM events WHERE event_id % 2 = 0 OR event_id % 3 < 2""")
+def store_upsert(spark, sf_dir):
+    """Three writes to one store: a replace, an append, and an upsert that changes some rows and adds others."""
+    path = scratch_dir(spark, "store")
+    t = tables.telemetry(spark, sf_dir).select("event_id", F.col("ts").alias("timestamp"), "ppv_mms",
+                                               F.col("event_id").cast("string").alias("blast_id"))
+    store.write_observations(t.where("event_id % 3 = 0"), path)
+    store.append_observations(t.where("event_id % 3 = 1"), path)
+    store.upsert_observations(t.where("event_id % 2 = 0").withColumn("ppv_mms", F.col("ppv_mms") + 1), path)
+    back = store.read_observations(spark, path)
+    ids = back.agg(F.count_distinct("id").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    dense = ids["a"] == 1 and ids["b"] == ids["k"] == back.count()
+    return finish(back.select(F.col("blast_id").cast("long").alias("event_id"), "ppv_mms", F.lit(dense).alias("ids_dense")))
+
+
 # --- profiling ------------------------------------------------------------
 
 def _category_sql(e: str) -> str:
