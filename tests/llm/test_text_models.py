@@ -165,6 +165,16 @@ def test_quality_ranks_held_out_documents(spark):
     assert sum(g >= 0.3 for g in good) / len(good) > 0.95 and sum(b < 0.3 for b in bad) / len(bad) > 0.95
 
 
+def test_quality_threshold_sees_all_labels_when_the_sample_bites(spark):
+    docs, labels = labelled(spark, 2000)
+    model = quality.learn(docs, labels, train_docs=300)
+    rows = quality.score(docs, model, ["doc_id"]).join(labels, "doc_id").collect()
+    below = sum(r.score < 0.3 for r in rows)
+    assert len(rows) == 2000 and below == sum(r.quality == 0 for r in rows)
+    few = quality.learn(docs, labels.filter("doc_id < 0"))
+    assert few.threshold == 0.0
+
+
 def test_pairwise_loss_gradient_is_zero_at_the_fit():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, quality.N_FEATURES))

@@ -3,12 +3,14 @@
 A document's latent score is linear in counts of its text (signs, capitals,
 digits, repeated words, line shapes).  Pairs of a document labelled 1 and one
 labelled 0 are preferences; the weights minimise the logistic loss on the
-difference of their features.  The threshold is the quantile of the scores
-that leaves as many sample documents below as are labelled 0; the reported
-score is the logistic of the distance to it, shifted to ``cut`` there.
+difference of their features.  The threshold is the quantile of the scores of
+all labelled documents that leaves as many of them below as are labelled 0;
+the reported score is the logistic of the distance to it, shifted to ``cut``
+there.
 
-Learning reads a bounded sample of labelled rows (``train_docs``, by a hash of
-doc_id); features and scores are one pass without a shuffle over whole texts.
+The weights are fitted on a bounded sample of labelled rows (``train_docs``, by
+a hash of doc_id); the threshold is an exact quantile over all of them.
+Features and scores are one pass without a shuffle over whole texts.
 
 Defined results: NULL and empty texts have all counts zero and get the score
 of that; labels other than 0 and 1 are ignored; several labels of a doc_id
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlake.llm.common import slices
+from tremorlake.llm.common import slices, written
+from tremorlake.operators.quantiles import exact_quantiles
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -84,7 +87,10 @@ class PairwiseModel:
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int, ridge: float, cut: float, rounds: int = 30) -> PairwiseModel:
-    """Bradley-Terry weights by Newton steps on the logistic loss of preference pairs (label 1 over label 0)."""
+    """Bradley-Terry weights by Newton steps on the logistic loss of preference pairs (label 1 over label 0).
+
+    The threshold is that of the rows of ``x``.
+    """
     mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     model = PairwiseModel(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(N_FEATURES), 0.0, cut)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -130,9 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 30_000, pairs: i
           cut: float = 0.3) -> PairwiseModel:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``.
 
-    About ``train_docs`` labelled rows are used (a hash of doc_id at a rate
-    that follows from their number); this bounds what is broadcast to find
-    their texts and what reaches the driver.
+    The weights see about ``train_docs`` labelled rows (a hash of doc_id at a
+    rate that follows from their number); this bounds what is broadcast to
+    find their texts and what reaches the driver.  The threshold sees all.
     """
     known = (labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL")
              .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.round(F.avg("quality")).cast("int").alias("y")))
@@ -144,7 +150,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 30_000, pairs: i
     rows = _with_features(sample, ["id", "y"], lambda x: list(x), "x", "array<double>", pa.list_(pa.float64()))
     got = rows.select("id", "y", "x").toArrow().sort_by("id").combine_chunks()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-    return fit_pairs(x, got.column("y").to_numpy(), pairs, ridge, cut)
+    model = fit_pairs(x, got.column("y").to_numpy(), pairs, ridge, cut)
+    model.threshold = _threshold(docs, known, model)
+    return model
+
+
+def _threshold(docs: DataFrame, known: DataFrame, model: PairwiseModel) -> float:
+    """Latent score below which as many labelled documents lie as are labelled 0, half way to the next; else 0.
+
+    Latent scores are joined with the labels, not the texts: two numbers a document.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+    latent = _with_features(texts, ["id"], model.latent, "latent", "double", pa.float64())
+    rated = written(latent.join(known, "id").select("latent", "y"), "quality-latent")
+    n, below = rated.agg(F.count(F.lit(1)), F.count(F.when(F.col("y") == 0, 1))).first()
+    if not 0 < below < n:
+        return 0.0
+    return exact_quantiles(rated, ["latent"], [(below - 0.5) / (n - 1)]).first()["value"]
 
 
 def score(docs: DataFrame, model: PairwiseModel, keep: list[str]) -> DataFrame:
