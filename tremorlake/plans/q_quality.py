@@ -524,3 +524,61 @@ def csv_rejected_lines(spark, sf_dir):
                        .otherwise(F.concat_ws("=", r["column"], r["text"])))
     return bad.select(F.split_part("line", F.lit(","), F.lit(1)).cast("long").alias("event_id"),
                       F.array_join(told, ",").alias("reasons"))
+
+
+SKETCHED = ["event_id", "node_id", "event_type", "ppv_mms", "temperature_c", "psd_value"]
+SKETCHED_NUM = [c for c in SKETCHED if c not in ("node_id", "event_type")]
+
+
+@register("profile_by_day", f"WITH {S.TELEMETRY}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, "
+    + (f"{r6(f'CAST(min({c}) AS DOUBLE)')} AS least, {r6(f'CAST(max({c}) AS DOUBLE)')} AS most, "
+       if c in SKETCHED_NUM else "CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, ")
+    + "true AS uniques_near, true AS median_near FROM telemetry WHERE day(ts) <= 15" for c in SKETCHED))
+def profile_by_day(spark, sf_dir):
+    """Profile of the first halves of all months from stored daily sketches; one day is written twice.
+
+    ``uniques_near``: within 4 % of the exact count; ``median_near``: its rank within 2 % of the middle.
+    """
+    from tremorlake.operators import sketches
+
+    t = tables.telemetry(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    path = scratch_dir(spark, "sketches")
+    daily = sketches.sketch_by_day(t.select("day", *SKETCHED), F.col("day"))
+    sketches.save_sketches(daily, path)
+    last = t.agg(F.max("day")).first()[0]  # a day that comes again replaces itself
+    sketches.save_sketches(sketches.sketch_by_day(t.where(F.col("day") == F.lit(last)).select("day", *SKETCHED), F.col("day")), path)
+    some = materialize(sketches.united(sketches.read_sketches(spark, path).where("dayofmonth(day) <= 15")), "united")
+    half = t.where("dayofmonth(day) <= 15").select(*SKETCHED)
+    exact = profile.column_profile(half).select("column", F.col("uniques").alias("exact"))
+    medians = {r["column"]: r["quantiles"][1] for r in some.collect() if r["quantiles"]}  # one row a column
+    ranks = half.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.struct(F.avg((F.col(c) < F.lit(medians.get(c))).cast("double")).alias("below"),
+                 F.avg((F.col(c) <= F.lit(medians.get(c))).cast("double")).alias("upto")).alias(c) for c in SKETCHED_NUM])
+    near = ranks.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), ((F.col(c)["below"] <= 0.52) & (F.col(c)["upto"] >= 0.48)).alias("near"))
+        for c in SKETCHED_NUM])).alias("r")).select("r.*")
+    out = some.where(F.col("column") != "day").join(F.broadcast(exact), "column").join(F.broadcast(near), "column", "left")
+    return finish(out.select("column", "rows", "missing", "least", "most",
+                             (F.abs(F.col("uniques") - F.col("exact")) <= 0.04 * F.col("exact")).alias("uniques_near"),
+                             F.coalesce("near", F.lit(True)).alias("median_near")))
+
+
+TOP_COLS = ["node_id", "event_type", "event_id", "stamp"]
+
+
+@register("top_values", f"""WITH {S.COMPACT},
+t AS (SELECT node_id, CAST(event_id % 7 AS VARCHAR) AS event_type, CAST(event_id AS VARCHAR) AS event_id,
+             "timestamp" AS stamp FROM compact),
+counts AS (""" + "\n UNION ALL\n".join(
+    f" SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM t GROUP BY {c}" for c in TOP_COLS) + """)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC NULLS LAST) AS rank FROM counts)
+WHERE rank <= 5""")
+def top_values(spark, sf_dir):
+    """Five most frequent values of columns with few, many and only distinct values; NULL counts as a value."""
+    from tremorlake.operators import sketches
+
+    p = tables.compact_packets(spark, sf_dir).select(
+        "node_id", (F.col("event_id") % 7).cast("string").alias("event_type"), F.col("event_id").cast("string"),
+        F.col("timestamp").alias("stamp"))
+    return sketches.top_values(p, TOP_COLS).withColumn("rank", F.col("rank").cast("long"))
