@@ -313,6 +313,24 @@ def test_report_counts_rows_on_both_sides(spark):
     test = spark.createDataFrame([(1.0, 2.0), (3.0, None), (5.0, 7.0)], "ppv_mms double, vdv double")
     rep = quality.report(train.unionByName(test), train=train, test=test)
     assert rep["train_test_overlap"].first()["shared_rows"] == 2
+    assert "leak_tree" not in rep and "energy_probe" not in rep
+
+
+def test_report_has_both_leak_probes(spark):
+    df = spark.range(400).select(
+        (F.col("id") % 60 / 10).alias("PPV(mm/s)"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 60 < 20, F.lit("Low"))
+        .when(F.col("id") % 60 < 40, F.lit("Medium")).otherwise(F.lit("High")).alias("Vibration_Level")) \
+        .withColumn("kinetic_energy_proxy", F.pow("PPV(mm/s)", F.lit(2)) / 2)
+    rep = quality.report(df, ["PPV(mm/s)"])
+    assert rep["leak_tree"].first()["leak_detected"] and rep["energy_probe"].first()["energy_is_ppv"]
+    noisy = df.withColumn("PPV(mm/s)", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(997)) / 100)
+    rep = quality.report(noisy, ["PPV(mm/s)"])
+    assert not rep["leak_tree"].first()["leak_detected"] and not rep["energy_probe"].first()["energy_is_ppv"]
+    gap = df.withColumn("kinetic_energy_proxy", F.when(F.col("PPV(mm/s)") > 0.1, F.col("kinetic_energy_proxy")))
+    assert not quality.report(gap, ["PPV(mm/s)"])["energy_probe"].first()["energy_is_ppv"]
+    unlabelled = df.withColumn("Vibration_Level", F.lit(None).cast("string"))
+    assert "leak_tree" not in quality.report(unlabelled, ["PPV(mm/s)"])
 
 
 def test_moments_do_not_depend_on_the_order(spark):

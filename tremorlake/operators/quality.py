@@ -87,9 +87,11 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def range_checks(df: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Per rule whose column is present: low, high and the count of values outside [low, high]."""
+    """Per rule whose column is present: low, high and the count of values outside [low, high] (none: no rows)."""
     rules = K.RANGE_RULES if rules is None else rules
     present = [(c, lo, hi) for c, (lo, hi) in rules.items() if c in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "column string, low double, high double, out_of_range long")
     wide = df.agg(*[F.sum(F.coalesce((clean_value(c) < lo) | (clean_value(c) > hi), F.lit(False)).cast("long")).alias(f"r{i}")
                     for i, (c, lo, hi) in enumerate(present)])
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"),
@@ -210,11 +212,18 @@ def train_test_overlap(df: DataFrame, cols: list[str], side: str = "is_test") ->
     return seen.agg(F.count(F.when(F.col("_test") & F.col("_train"), 1)).alias("shared_rows"))
 
 
+def energy_probe(df: DataFrame, ppv: str = "ppv_mms") -> DataFrame:
+    """Whether ``kinetic_energy_proxy`` is 0.5 PPV^2 in every row; a missing value on either side is a difference."""
+    same = F.coalesce(P.allclose("kinetic_energy_proxy", P.kinetic_energy(ppv)), F.lit(False))
+    return df.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("energy_is_ppv"))
+
+
 def report(df: DataFrame, cols: list[str] | None = None, train: DataFrame | None = None,
            test: DataFrame | None = None) -> dict[str, DataFrame]:
     """Data-quality report as DataFrames: missing values, duplicates, outliers, range rules, labels,
-    distributions, correlation, leakage (ranges and their disjointness) and train/test overlap."""
-    from tremorlake.operators import profile
+    distributions, correlation, leakage (ranges and their disjointness, a tree on PPV alone, kinetic energy
+    that is 0.5 PPV^2) and train/test overlap."""
+    from tremorlake.operators import model, profile
 
     cols = numeric_columns(df, exclude=["id", "created_at"]) if cols is None else cols
     out = {
@@ -232,6 +241,13 @@ def report(df: DataFrame, cols: list[str] | None = None, train: DataFrame | None
             ranges = ppv_by_label(df, label)
             out["ppv_by_label"] = ranges
             out["leak_intervals"] = leak_intervals(ranges)
+    ppv = first_present(df, PPV_CANDIDATES)
+    if label and ppv:
+        both = df.where(F.col(sql_ident(label)).isNotNull() & clean_value(ppv).isNotNull())
+        if not both.isEmpty():
+            out["leak_tree"] = model.ppv_leak_probe(both, sql_ident(label), sql_ident(ppv))
+    if ppv and "kinetic_energy_proxy" in df.columns:
+        out["energy_probe"] = energy_probe(df, sql_ident(ppv))
     if train is not None and test is not None:
         both = (test.select(*cols).withColumn("__is_test", F.lit(True))
                 .unionByName(train.select(*cols).withColumn("__is_test", F.lit(False))))

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from tremorlake import constants as K
 from tremorlake.functions import physics as P
-from tremorlake.operators import evaluate, model, sampling
+from tremorlake.operators import evaluate, features, model, quality, sampling
+from tremorlake.plans import sql as S
 from tremorlake.plans import train_flow as flow
 from tremorlake.plans.q_sampling import SPLIT
 from tremorlake.plans.registry import register
@@ -169,6 +170,32 @@ def ppv_tree_leak(spark, sf_dir):
     return model.ppv_leak_probe(t)
 
 
+@register("report_probes", f"""WITH {S.FEATURED},
+energy AS (SELECT bool_and(abs(kinetic_energy_proxy - 0.5e0*ppv_mms*ppv_mms) <= 1e-8 + 1e-3*abs(0.5e0*ppv_mms*ppv_mms))
+             AS same FROM featured)
+SELECT 'packets' AS "table", 'leak_tree' AS probe, true AS found
+UNION ALL SELECT 'packets', 'energy_probe', same FROM energy
+UNION ALL SELECT 'packets', 'train_test_overlap', false
+UNION ALL SELECT 'unrelated', 'leak_tree', false
+UNION ALL SELECT 'unrelated', 'energy_probe', false
+UNION ALL SELECT 'unrelated', 'train_test_overlap', true""")
+def report_probes(spark, sf_dir):
+    """The quality report's leakage probes on packets, and on packets whose PPV has nothing to do with the label."""
+    t = features.derive(tables.telemetry(spark, sf_dir)).withColumn("risk_label", P.risk_from_ppv("ppv_mms"))
+    t = t.select("event_id", "risk_label", "ppv_mms", "kinetic_energy_proxy", "temperature_c")
+    other = t.withColumn("ppv_mms", F.pmod(F.xxhash64("event_id"), F.lit(1 << 20)) / F.lit(1e5))
+    found = {"leak_tree": F.col("leak_detected"), "energy_probe": F.col("energy_is_ppv"),
+             "train_test_overlap": F.col("shared_rows") > 0}
+    out = None
+    for name, d, train in (("packets", t, "event_id % 5 > 0"), ("unrelated", other, "event_id % 10 < 9")):
+        d = materialize(d, "probed")
+        rep = quality.report(d, ["event_id", "ppv_mms", "temperature_c"], d.where(train), d.where("event_id % 5 = 0"))
+        for probe, is_found in found.items():
+            one = rep[probe].select(F.lit(name).alias("table"), F.lit(probe).alias("probe"), is_found.alias("found"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     """Compare both models, pick the safety-first winner, save it, load it back, score the test

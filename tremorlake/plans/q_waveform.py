@@ -61,3 +61,20 @@ def waveform_hourly(spark, sf_dir):
                  F.floor((F.col("ppv_mms") - F.lit(2.0)) * F.lit(10.0)).cast("double").alias("x"))
     out = waveform.window_features(s, ["node_id", "hour"], ["ts", "event_id"], "x", F.floor(F.minute("ts") / 10))
     return finish(out.select("node_id", "hour", "n", *FEATURE_NAMES))
+
+
+@register("waveform_gaps", f"""WITH raw_samples AS (
+  SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS e FROM embeddings
+  WHERE vec_id % 10 > 1),
+samples AS (SELECT vec_id, i, cast(e AS DOUBLE)*3e0 AS x FROM raw_samples),
+lagged AS (SELECT vec_id, i, x, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS px FROM samples),
+found AS (SELECT vec_id, {_metrics('vec_id')} FROM lagged GROUP BY vec_id)
+SELECT e.vec_id, {", ".join(FEATURE_NAMES)} FROM embeddings e LEFT JOIN found f ON e.vec_id = f.vec_id""")
+def waveform_gaps(spark, sf_dir):
+    """Fractional samples; every tenth buffer is empty, the one after it NULL: both keep their row, without metrics."""
+    emb = tables.table(spark, sf_dir, "embeddings")
+    samples = F.transform("embedding", lambda x: x.cast("double") * F.lit(3.0))
+    buffers = emb.select("vec_id", F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<double>"))
+                         .when(F.col("vec_id") % 10 > 1, samples).alias("samples"))
+    out = buffers.select("vec_id", waveform_features("samples").alias("f"))
+    return finish(out.select("vec_id", *[F.col(f"f.{n}").alias(n) for n in FEATURE_NAMES]))
