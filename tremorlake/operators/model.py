@@ -109,7 +109,7 @@ class BoostedModel:
         return out.withColumn("prob_array", arr).drop(*drop)
 
 
-def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -> BoostedModel:
+def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"], max_bins: int = 256) -> BoostedModel:
     """Multiclass boosting as three one-vs-rest ``GBTClassifier`` fits (no OneVsRest: it has no probabilities)."""
     prep = Pipeline(stages=[_indexer(), _assembler()]).fit(train)
     labels = prep.stages[0].labels
@@ -117,7 +117,7 @@ def fit_boosted(train: DataFrame, max_iter: int = K.BOOSTED_PARAMS["maxIter"]) -
 
     def fit_one(k: int):
         y = data.withColumn("_y", (F.col(LABEL_IDX) == k).cast("double"))
-        gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter,
+        gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter, maxBins=max_bins,
                             stepSize=K.BOOSTED_PARAMS["stepSize"], maxDepth=K.BOOSTED_PARAMS["maxDepth"],
                             subsamplingRate=K.BOOSTED_PARAMS["subsamplingRate"],
                             featureSubsetStrategy=K.BOOSTED_FEATURE_FRACTION, seed=K.SEED,
