@@ -124,3 +124,39 @@ def test_null_strata_and_keys_are_split_like_any_other(spark):
     assert sorted(r["count"] for r in folds) == [20] * 5
     groups = sampling.group_split(df.withColumn("aug_round", F.lit(0)), "k", "label", F.col("aug_round") == 0)
     assert groups.filter("is_test IS NULL").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_ranks_only_the_bin_of_the_cut(spark):
+    df = spark.range(20000).withColumn("s", F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 7 > 0, "a")) \
+        .withColumn("wide", F.col("id").cast("double"))
+    for fraction in (0.0, 0.2, 0.731, 1.0):
+        got = sampling.stratified_split(df, "s", "id", fraction)
+        ref = sampling.stratified_rank(df, "s", "id").withColumn(
+            "is_test", F.col("_rank") <= F.round(F.col("_n") * fraction)).drop("_rank", "_n")
+        assert got.columns == ref.columns and got.exceptAll(ref).count() == ref.exceptAll(got).count() == 0
+    # rows with equal keys: as many test rows as without
+    twice = sampling.stratified_split(df.select((F.col("id") % 50).alias("id"), "s"), "s", "id")
+    assert {(r["s"], r["t"] == round(0.2 * r["n"])) for r in twice.groupBy("s").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()} == {("a", True), ("b", True), (None, True)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in _plan(sampling.stratified_split(df, "s", "id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_overlap_shuffles_hashes_not_values(spark):
+    from tremorlake.operators import quality
+
+    rows = [(1.0, None, True), (1.0, None, False), (None, 1.0, True), (0.0, 2.0, True), (-0.0, 2.0, False),
+            (float("nan"), 3.0, True), (float("nan"), 3.0, False), (4.0, 4.0, True), (4.0, 4.0, True), (5.0, 4.0, False)]
+    df = spark.createDataFrame(rows, "c0 double, c1 double, is_test boolean")
+    out = quality.train_test_overlap(df, ["c0", "c1"])
+    assert out.first()["shared_rows"] == 3
+    exchanges = [line for line in _plan(out).splitlines() if "hashpartitioning" in line]
+    assert exchanges and not any("c0#" in line or "c1#" in line for line in exchanges)

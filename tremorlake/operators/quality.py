@@ -207,8 +207,15 @@ def sql_ident(s: str) -> str:
 
 
 def train_test_overlap(df: DataFrame, cols: list[str], side: str = "is_test") -> DataFrame:
-    """Number of distinct ``cols`` rows that occur on both sides: one group per row, combined map-side."""
-    seen = df.groupBy(*cols).agg(F.bool_or(F.col(side)).alias("_test"), F.bool_or(~F.col(side)).alias("_train"))
+    """Number of distinct ``cols`` rows that occur on both sides: one group per row, combined map-side.
+
+    Rows of several columns are told apart by 128 hash bits of their values and of which are NULL, so a shuffled
+    row has two numbers however wide ``cols`` is.
+    """
+    values = [F.col(c) for c in cols]
+    group = values if len(cols) == 1 else [
+        F.xxhash64(F.lit(i), *[c.isNull() for c in values], *values).alias(f"_h{i}") for i in (0, 1)]
+    seen = df.groupBy(*group).agg(F.bool_or(F.col(side)).alias("_test"), F.bool_or(~F.col(side)).alias("_train"))
     return seen.agg(F.count(F.when(F.col("_test") & F.col("_train"), 1)).alias("shared_rows"))
 
 
