@@ -208,3 +208,24 @@ def test_stream_window_std_with_a_large_offset(spark, tmp_path):
     got = {r["node_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["n"]["n"] == 900 and got["n"]["std"] == pytest.approx(np.std(x), rel=1e-6)
     assert (got["gap"]["n"], got["gap"]["mean"], got["gap"]["std"]) == (1, 2.5, 0.0)
+
+
+def test_folds_of_a_large_table_are_fitted_one_after_the_other(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model, "in_parallel", lambda fn, items, max_workers=5: seen.append(max_workers) or [None] * 5)
+    monkeypatch.setattr(model, "_prob_array", lambda m, d: (d.withColumn("prob_array", F.array(F.lit(1.0))), ["NORMAL"]))
+    df = spark.range(100).select(F.lit("NORMAL").alias("risk_label"), F.lit(1.0).alias("weight"), F.lit(0).alias("fold"))
+    for rows_at_once in (1000, 250, 10):
+        model.fold_predictions(df, "fold", None, rows_at_once=rows_at_once)
+    assert seen == [5, 2, 1]
+
+
+def test_node_ids_change_no_tree(spark):
+    from tremorlake.plans.q_model import _train
+
+    train = _train(spark, SF001)
+    a, b = (model.fit_forest(train, num_trees=5, max_depth=6, max_cached_ids=n).stages[-1] for n in (10**9, 0))
+    assert a.getOrDefault("cacheNodeIds") and not b.getOrDefault("cacheNodeIds")
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+    boosted = model.fit_boosted(train, max_iter=2)
+    assert not any(m.getOrDefault("cacheNodeIds") for _, m in boosted.members)
