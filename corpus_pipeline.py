@@ -29,9 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Learns from three quarters of the ids; if nothing could be learned, all texts with letters stay.
     """
     model = langid.learn(docs.filter(id_fold(4) != 2))
-    judged = langid.identify(docs.withColumn("__stage_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])),
-                             model, ["__stage_row"], known=True)
-    return judged.filter("known").select("__stage_row.*")
+    names = [f"__stage_{i}" for i in range(len(docs.columns))]  # no column of the stage is named like a new one
+    judged = langid.identify(docs.toDF(*names), model, names, known=True, text=names[docs.columns.index("text")])
+    return judged.filter("known").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,23 @@ def test_word_cache_gives_the_tokenizers_ids(text, reference_ids):
     assert np.frombuffer(got, "<u4").tolist() == reference_ids(text)[:-1]
 
 
+def test_word_cache_is_bounded_by_bytes(reference_ids):
+    rng = random.Random(8)
+    tok = packing.WordTokenizer(packing.tokenizer_path(), cache_bytes=1 << 16)
+    every = [chr(c) for c in [*range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x250)]]
+    latin = [c for c in every if c.lower() <= "\u024f"]
+    most = 0
+    for _ in range(40):
+        texts = ["".join(rng.choices(latin, k=300)) + f" the of {rng.random()} it's" for _ in range(8)]
+        texts = [t.replace("<|", "< |") for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [reference_ids(t)[:-1] for t in texts]
+        most = max(most, *(sum(200 + len(w) + len(ids) for w, ids in c.items()) for c in (tok.cache, tok.older)))
+    assert tok.older and most < 1 << 18  # half the bound and the words of one call; all words: over 3 MB
+    assert "the" in tok.cache
+    words = [w for _ in range(40) for w in tok.split("".join(rng.choices(every, k=300)).lower())]
+    assert tok._pack_words(words) == tok._pack(words)
+
+
 def check_pieces(rows, ids, capacity):
     covered = {}
     for r in rows:

@@ -102,3 +102,11 @@ def test_language_stage_decides_by_n_grams(spark):
                                      "doc_id long, text string, lang string").repartition(3)
         kept = by_id(corpus_pipeline.identify_language(spark, docs, SF))
         assert kept == (plain if lang else plain | odd)
+
+
+def test_language_stage_sends_texts_once(spark):
+    docs = spark.createDataFrame([(1, "one text", "en", True, "a"), (2, "12", "en", False, "b")],
+                                 "doc_id long, text string, lang string, known boolean, lang_pred string")
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "one text", "en", True, "a")]
+    assert "__llm_text" not in kept._jdf.queryExecution().toString()

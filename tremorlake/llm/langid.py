@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tremorlake.llm.common import slices
 
@@ -192,14 +193,18 @@ def learn(docs: DataFrame, n: int = 4, train_docs: int = 4_000, grams: int = 4_0
     return out
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], known: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], known: bool = False,
+             text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` plus ``lang_pred`` and ``score``, and ``known`` if asked for.
 
-    The new columns replace columns of these names.
+    The new columns replace columns of these names.  ``text`` names the column
+    of the texts; if it is kept, the texts travel to the workers once.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score") + ("known",) * known]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__llm_text"))
+    at = keep.index(text) if text in keep and docs.schema[text].dataType == StringType() else len(keep)
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep],
+                         *[F.col(f"`{text}`").cast("string").alias("__llm_text")] * (at == len(keep)))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
     if known:
         schema = schema.add("known", "boolean")
@@ -207,9 +212,9 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], known: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches):
-            lang, score, judged = own.judge(b.column(b.num_columns - 1).to_pylist())
+            lang, score, judged = own.judge(b.column(at).to_pylist())
             extra = [pa.array(judged, pa.bool_())] if known else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()),
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(lang, pa.string()),
                                               pa.array(score, pa.float64()), *extra], schema.fieldNames())
 
     return chosen.mapInArrow(run, schema)

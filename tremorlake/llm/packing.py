@@ -37,6 +37,9 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 #: Latin text: here lower-casing and composition act per character, and the classes below are stable.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ]*\\Z")
 
+#: a cached word beside its letters and ids: two object heads and its place in the dictionary
+ENTRY_BYTES = 200
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file on this machine."""
@@ -55,15 +58,17 @@ def _classes() -> tuple[str, str]:
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, with a cache of words.
+    """Token ids of whole texts as little-endian 32-bit bytes, with a cache of recent words.
 
     ``word_bpe_49k.json`` splits a lower-cased text into words, digits and
     runs of signs and encodes each alone, so a text of Latin characters is
     encoded word by word through the cache; any other text goes to the
-    tokenizer whole.
+    tokenizer whole.  The cache outlives a task, as its worker process does,
+    so its memory is bounded: at half of ``cache_bytes`` the words of late
+    become the older ones and the older ones go; a word met again is of late.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +76,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.older: dict[str, bytes] = {}
+        self.cache_bytes = cache_bytes
+        self.held = 0  # bytes of the cache without the older words
         letters, numbers = _classes()
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
 
@@ -79,13 +86,29 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
+    def _pack_words(self, words: list[str]) -> list[bytes]:
+        """As ``_pack``, many words a call: the tokenizer parts them at the blanks."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 512):
+            own = words[a:a + 512]
+            e = self.whole.encode(" ".join(own), add_special_tokens=False)
+            # the first id of each word; a word is never without one
+            cuts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            out += ([ids[4 * i:4 * j] for i, j in zip(cuts, [*cuts[1:], len(e.ids)])] if len(cuts) == len(own)
+                    else self._pack(own))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [i for i, t in enumerate(texts) if _PLAIN.match(t) and "<|" not in t]
         words = {i: self.split(texts[i].lower()) for i in plain}
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = list({w for ws in words.values() for w in ws}.difference(self.cache))
-        self.cache.update(zip(new, self._pack(new)))
+        if self.held > self.cache_bytes // 2:
+            self.cache, self.older, self.held = {}, self.cache, 0
+        missing = {w for ws in words.values() for w in ws}.difference(self.cache)
+        new = list(missing.difference(self.older))
+        found = {w: self.older[w] for w in missing.intersection(self.older)} | dict(zip(new, self._pack_words(new)))
+        self.cache.update(found)
+        self.held += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in found.items())
         look = self.cache.__getitem__
         other = [i for i in range(len(texts)) if i not in words]
         rest = dict(zip(other, self._pack([texts[i] for i in other])))
