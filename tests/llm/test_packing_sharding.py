@@ -55,6 +55,42 @@ def test_word_cache_is_bounded_by_bytes(reference_ids):
     assert tok._pack_words(words) == tok._pack(words)
 
 
+class Counted(dict):
+    """A dictionary that counts what it is asked for."""
+
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_each_different_word_is_looked_up_once(reference_ids):
+    tok = packing.WordTokenizer(packing.tokenizer_path())
+    tok.cache = Counted()
+    texts = ["It's the dog's, of 12 the cats. " * 100] * 5
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [reference_ids(t)[:-1] for t in texts]
+    assert tok.cache.asked <= 40  # of 6,500 words; with a second look at the new ones
+
+
+def test_texts_cut_together_keep_their_own_ids(reference_ids, monkeypatch):
+    rng = random.Random(5)
+    parts = ["'s", "'T", "'re", "'VE", "'l", "'ll", "'", "''", "s", "e", "d", "Ve", "12", "½", " ", "\n", "-", "É", "¡",
+             "Ɠ", "Ɲ", "Ⱥ", "the ", "'dd 'm"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)] + ["", "日本's", "x'", "s"]
+    want = [reference_ids(t)[:-1] for t in texts]
+    for chars in (1, 100, 1 << 20):
+        monkeypatch.setattr(packing, "GROUP_CHARS", chars)
+        tok = packing.WordTokenizer(packing.tokenizer_path())
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == want
+    assert tok.encode([]) == [] and tok.encode([""]) == tok.encode([" \n"]) == [b""]
+    assert tok.split("It's 12 a-b'll".lower()) == ["it", "'s", "1", "2", "a", "-", "b", "'ll"]
+
+
 def check_pieces(rows, ids, capacity):
     covered = {}
     for r in rows:

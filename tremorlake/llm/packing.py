@@ -39,6 +39,8 @@ _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ]*\\Z")
 
 #: a cached word beside its letters and ids: two object heads and its place in the dictionary
 ENTRY_BYTES = 200
+#: Latin texts are cut into words together up to so many characters (or one text)
+GROUP_CHARS = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,21 +50,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _classes() -> tuple[str, str]:
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case form (of the Latin ones) and class of every 16-bit character: 0 blank, 1 letter, 2 number, 3 sign."""
     import unicodedata
 
-    chars = [chr(c) for c in range(0x250)]
-    letters = "".join(c for c in chars if unicodedata.category(c)[0] == "L")
-    numbers = "".join(c for c in chars if unicodedata.category(c)[0] == "N")
-    return letters, numbers
+    chars = [chr(c) for c in range(1 << 16)]
+    lower = np.arange(1 << 16, dtype="<u2")
+    lower[:0x250] = [ord(c.lower()[0]) for c in chars[:0x250]]
+    kind = np.array([{"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3) for c in chars], np.uint8)
+    kind[[ord(c) for c in "\t\n\r "]] = 0
+    return lower, kind
 
 
 class WordTokenizer:
     """Token ids of whole texts as little-endian 32-bit bytes, with a cache of recent words.
 
     ``word_bpe_49k.json`` splits a lower-cased text into words, digits and
-    runs of signs and encodes each alone, so a text of Latin characters is
-    encoded word by word through the cache; any other text goes to the
+    runs of signs and encodes each alone, so texts of Latin characters are
+    cut into words together, as arrays; each different word of theirs is
+    looked up in the cache or encoded once.  Any other text goes to the
     tokenizer whole.  The cache outlives a task, as its worker process does,
     so its memory is bounded: at half of ``cache_bytes`` the words of late
     become the older ones and the older ones go; a word met again is of late.
@@ -72,47 +78,110 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.cut = Tokenizer(self.whole.model)  # for words that are cut and lower-cased already
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.cut.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_bytes = cache_bytes
         self.held = 0  # bytes of the cache without the older words
-        letters, numbers = _classes()
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
+        self.lower, self.kind = _characters()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def _pack_words(self, words: list[str]) -> list[bytes]:
-        """As ``_pack``, many words a call: the tokenizer parts them at the blanks."""
+        """As ``_pack``, many lower-case words a call: the tokenizer parts them at the blanks."""
         out: list[bytes] = []
         for a in range(0, len(words), 512):
             own = words[a:a + 512]
-            e = self.whole.encode(" ".join(own), add_special_tokens=False)
-            # the first id of each word; a word is never without one
-            cuts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            out += ([ids[4 * i:4 * j] for i, j in zip(cuts, [*cuts[1:], len(e.ids)])] if len(cuts) == len(own)
+            e, = self.cut.encode_batch_fast([" ".join(own)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            out += ([ids[i:j] for i, j in zip([0, *cuts], cuts)] if len(cuts) == len(own) and cuts[-1] == len(ids)
                     else self._pack(own))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if _PLAIN.match(t) and "<|" not in t]
-        words = {i: self.split(texts[i].lower()) for i in plain}
+    def _words(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Place of every word of a text, its number, and the different words by number."""
+        chars = self.lower[np.frombuffer((text + "\n\n").encode("utf-16-le", "surrogatepass"), "<u2")]
+        kind = self.kind[chars]
+        begins = np.ones(len(chars), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        # 's 't 're 've 'm 'll 'd: a quote that begins a word takes these letters, and another word begins after them
+        quotes = np.flatnonzero(chars == ord("'"))
+        quotes = quotes[begins[quotes]]
+        one, two = chars[quotes + 1], chars[quotes + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.isin(one, [ord(c) for c in "rv"]) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        begins[quotes[short | long] + 1] = False
+        begins[quotes[short] + 2] = begins[quotes[long] + 3] = True
+        full = kind > 0
+        begins &= full
+        chars = chars[full]
+        bounds = 2 * np.append(np.flatnonzero(begins[full]), len(chars))
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1,
+                                      [None, pa.py_buffer(bounds), pa.py_buffer(chars)]).dictionary_encode()
+        # the different words are sliced from one string: a value at a time is slow
+        bounds = np.frombuffer(words.dictionary.buffers()[1], np.int64)[:len(words.dictionary) + 1].tolist()
+        every = words.dictionary.buffers()[2].to_pybytes()[:bounds[-1]].decode("utf-16-le", "surrogatepass")
+        return (np.flatnonzero(begins), words.indices.to_numpy(),
+                [every[a // 2:b // 2] for a, b in zip(bounds, bounds[1:])])
+
+    def split(self, text: str) -> list[str]:
+        _, number, words = self._words(text)
+        return [words[i] for i in number]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, by the cache."""
         if self.held > self.cache_bytes // 2:
             self.cache, self.older, self.held = {}, self.cache, 0
-        missing = {w for ws in words.values() for w in ws}.difference(self.cache)
-        new = list(missing.difference(self.older))
-        found = {w: self.older[w] for w in missing.intersection(self.older)} | dict(zip(new, self._pack_words(new)))
-        self.cache.update(found)
-        self.held += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in found.items())
-        look = self.cache.__getitem__
-        other = [i for i in range(len(texts)) if i not in words]
-        rest = dict(zip(other, self._pack([texts[i] for i in other])))
-        return [b"".join(map(look, words[i])) if i in words else rest[i] for i in range(len(texts))]
+        own = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(own) if ids is None]
+        for i in missing:
+            own[i] = self.older.get(words[i])
+        new = [i for i in missing if own[i] is None]
+        for i, ids in zip(new, self._pack_words([words[i] for i in new])):
+            own[i] = ids
+        self.cache.update((words[i], own[i]) for i in missing)
+        self.held += sum(ENTRY_BYTES + len(words[i]) + len(own[i]) for i in missing)
+        return own
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of Latin texts: those of their different words, laid out in the order of the words."""
+        place, number, words = self._words("\n".join(texts))
+        own = self._look_up(words)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        before = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[number])])
+        ids = np.arange(ends[-1]) + np.repeat(before[number] - ends[:-1], size[number])
+        ids = np.frombuffer(b"".join(own), "<u4")[ids].tobytes()
+        cuts = (4 * ends[np.searchsorted(place, np.cumsum([len(t) + 1 for t in texts]))]).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if _PLAIN.match(t) and "<|" not in t]
+        group, size = [], 0
+        for at, i in enumerate(plain, 1):
+            group.append(i)
+            size += len(texts[i])
+            if size >= GROUP_CHARS or at == len(plain):
+                for k, ids in zip(group, self._encode_plain([texts[k] for k in group])):
+                    out[k] = ids
+                group, size = [], 0
+        other = sorted(set(range(len(texts))).difference(plain))
+        for k, ids in zip(other, self._pack([texts[k] for k in other])):
+            out[k] = ids
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
