@@ -154,6 +154,21 @@ def test_dense_fingerprints_are_linked_exactly(spark):
         assert {x for x in values if comp.get(x, ("alone", x)) == comp.get(a, ("alone", a))} == groups[a]
 
 
+def test_cells_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes the cells of a few fingerprints too low: a side with a row per cell would go to the driver whole."""
+    plans, write = {}, simhash.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    simhash.fingerprint_components(spark.createDataFrame([(i % 3,) for i in range(9)], "fp long").distinct()).collect()
+    assert "Generate explode" in plans["simhash-members"]
+    assert "SortMergeJoin" in plans["simhash-members"] and "Broadcast" not in plans["simhash-members"]
+
+
 def test_embedding_is_a_lower_bound(spark):
     rng = random.Random(4)
     rows = [(rng.getrandbits(63), rng.getrandbits(63) - (1 << 62)) for _ in range(300)]

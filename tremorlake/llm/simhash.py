@@ -16,7 +16,8 @@ against two of the cell's members (its smallest and largest fingerprint),
 which settles cells of two, and the components of these links are found; only
 members outside the component of their cell's first pivot are then joined with
 the cell, and only pairs of different components are verified.  Every link between components is found,
-so the components are exact.
+so the components are exact.  Joins on the cell are merge joins: a side has a
+row per cell of a fingerprint, which Spark's size estimate does not know.
 
 Defined results: a NULL or blank text has fingerprint 0 and is linked like
 any other; fewer words than a shingle are one shingle; repeated rows of a
@@ -122,7 +123,9 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4, groups: int = GROU
     # two in a cell: all is said by comparing them; more: each against the cell's smallest and largest
     pairs = held.filter((F.col("n") == 2) & near("lo", "hi", max_bits)).select(F.col("hi").alias("a"),
                                                                                F.col("lo").alias("b"))
-    shared = written(members.join(held.filter("n > 2").select("cell", "lo", "hi"), "cell"), "simhash-members")
+    # merged: Spark sizes the cells by their fingerprints, before each becomes a row per cell, and would broadcast them
+    shared = written(members.hint("merge").join(held.filter("n > 2").select("cell", "lo", "hi"), "cell"),
+                     "simhash-members")
     to_lo = shared.filter((F.col("fp") != F.col("lo")) & near("fp", "lo", max_bits)).select(
         F.col("fp").alias("a"), F.col("lo").alias("b"))
     to_hi = shared.filter((F.col("fp") != F.col("hi")) & near("fp", "hi", max_bits)).select(
@@ -139,7 +142,8 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 4, groups: int = GROU
     outside = tagged.filter(F.col("comp") != F.col("lo_comp")).select("cell", F.col("fp").alias("x"),
                                                                        F.col("comp").alias("x_comp"))
     inside = tagged.select("cell", F.col("fp").alias("y"), F.col("comp").alias("y_comp"))
-    across = (outside.join(inside, "cell").filter((F.col("x_comp") != F.col("y_comp")) & near("x", "y", max_bits))
+    across = (outside.hint("merge").join(inside, "cell")
+              .filter((F.col("x_comp") != F.col("y_comp")) & near("x", "y", max_bits))
               .select(F.least("x_comp", "y_comp").alias("a"), F.greatest("x_comp", "y_comp").alias("b")).distinct())
     second = connected_components(across)
     merged = second.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
