@@ -6,7 +6,7 @@ from llm_cases import documents, empty, frame
 from pyspark.sql import functions as F
 
 from tremorlake.llm import exact_dedup, line_dedup, simhash, suffix_dedup
-from tremorlake.llm.common import connected_components
+from tremorlake.llm.common import connected_components, lookup_skewed
 from tremorlake.session import scratch_dir
 
 
@@ -156,17 +156,27 @@ def test_dense_fingerprints_are_linked_exactly(spark):
 
 def test_cells_are_never_broadcast(spark, monkeypatch):
     """Spark sizes the cells of a few fingerprints too low: a side with a row per cell would go to the driver whole."""
-    plans, write = {}, simhash.written
+    made, write = {}, simhash.written
 
     def seen(df, name):
-        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        made[name] = plans(df)
         return write(df, name)
 
     monkeypatch.setattr(simhash, "written", seen)
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
     simhash.fingerprint_components(spark.createDataFrame([(i % 3,) for i in range(9)], "fp long").distinct()).collect()
-    assert "Generate explode" in plans["simhash-members"]
-    assert "SortMergeJoin" in plans["simhash-members"] and "Broadcast" not in plans["simhash-members"]
+    assert "Generate explode" in made["simhash-members"]
+    assert "SortMergeJoin" in made["simhash-members"] and "Broadcast" not in made["simhash-members"]
+
+
+def test_lookup_broadcasts_hot_keys_only(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(90)] + [(i, i) for i in range(2, 12)], "k long, i long")
+    table = spark.createDataFrame([(1, 90, "hot")] + [(i, 1, "cold") for i in range(2, 12)], "k long, n long, what string")
+    found = lookup_skewed(rows, table, ["k"], "n", 100, share=10)
+    plan = plans(found)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert sorted((r.k, r.i, r.what) for r in found.collect()) == \
+        [(1, i, "hot") for i in range(90)] + [(i, i, "cold") for i in range(2, 12)]
 
 
 def test_embedding_is_a_lower_bound(spark):
