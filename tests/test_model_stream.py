@@ -220,6 +220,34 @@ def test_folds_of_a_large_table_are_fitted_one_after_the_other(spark, monkeypatc
     assert seen == [5, 2, 1]
 
 
+def test_classes_of_a_large_table_are_boosted_one_after_the_other(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model, "in_parallel", lambda fn, items, max_workers=5: seen.append(max_workers) or [])
+    df = spark.range(100).select(F.lit("NORMAL").alias("risk_label"), F.lit(1.0).alias("weight"),
+                                 *[F.col("id").cast("double").alias(c) for c in K.FEATURES])
+    for rows_at_once in (300, 250, 10):
+        model.fit_boosted(df, rows_at_once=rows_at_once)
+    assert seen == [3, 2, 1]
+
+
+def test_parallel_fits_have_their_own_job_properties(spark):
+    import threading
+
+    sc, met = spark.sparkContext, threading.Barrier(2, timeout=30)
+    sc.setLocalProperty("tremorlake.test", "caller")
+
+    def job(i):
+        got = sc.getLocalProperty("tremorlake.test")
+        met.wait()
+        sc.setLocalProperty("tremorlake.test", str(i))
+        met.wait()
+        return got, sc.getLocalProperty("tremorlake.test")
+
+    assert model.in_parallel(job, [0, 1]) == [("caller", "0"), ("caller", "1")]
+    assert sc.getLocalProperty("tremorlake.test") == "caller"
+    sc.setLocalProperty("tremorlake.test", None)
+
+
 def test_node_ids_change_no_tree(spark):
     from tremorlake.plans.q_model import _train
 
